@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media, packing, secrets, token_files
+from . import byte_bpe, fingerprints, language, media, packing, secrets, simhash, token_files
 
 #: The word vocabulary's end id.
 END = 1
@@ -41,15 +41,27 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(documents(spark, sf_dir)))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_digest(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=END)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_packing, op3_secrets, op6_byte_bpe, op8_token_files)
+    f.__name__: f for f in (op1_media, op2_packing, op3_secrets, op5_simhash, op6_byte_bpe, op7_fingerprints, op8_token_files, op9_language)
 }
 ORACLES: dict[str, str] = {}

@@ -1,17 +1,19 @@
 """Encoding by words: a text's ids are the joined ids of its words, each word encoded once per worker.
 
 ``WordCache`` keeps the little-endian unsigned 32-bit ids of words as bytes, so that a document's ids
-are one join.  It is bounded: beyond ``most`` words the older half goes.
+are one join.  It is bounded: beyond ``most`` words the older half goes.  ``WordBpe`` encodes by the
+tokenizers library: NumPy finds the words of many texts at once and their different ones, only those are
+looked up or encoded, and their ids are put in place for all.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from collections.abc import Callable
 from itertools import islice
 
+import numpy as np
+
 
 class WordCache(dict):
     """``encode`` gets the words that are new in some texts, all at once; None is for those that have no ids of their own."""
@@ -52,49 +54,150 @@ class WordCache(dict):
         return out
 
 
+# White space by which texts are cut.
+SPACE = b"\t\n\x0b\x0c\r "
+#: Bytes of text that are cut at once, and the length from which words of one hash are compared.
+PART, LONG = 4 << 20, 256
+
+
+def _classes() -> np.ndarray:
+    """Of bytes: 0 white space, 1 letters (and what follows 0xC3), 2 digits, 3 the other signs, 4 what the library must see in context."""
+    c = np.full(256, 3, np.uint8)
+    c[list(SPACE)] = 0
+    c[ord("a") : ord("z") + 1] = 1
+    c[ord("0") : ord("9") + 1] = 2
+    c[0x80:] = 4
+    c[0x80:0xC0] = c[0xC3] = 1
+    c[[*range(9), *range(14, 32), 127, ord("'"), *range(ord("A"), ord("Z") + 1)]] = 4
+    return c
+
+
 class WordBpe:
     """A vocabulary of the tokenizers library, by words.
 
-    A word is a run without ASCII white space.  No step of the vocabulary's normaliser or pattern looks
-    across white space, so the ids of a text are those of its words, joined.  A word of ASCII and
-    accented Latin letters is lower-cased and cut here as the vocabulary's pattern does, and each cut
-    goes to the library's BPE model; any other word goes through the library whole.  The strings of
-    special tokens are ordinary text.
+    No step of the vocabulary's normaliser or pattern looks across ASCII white space.  Between white
+    space, its pattern cuts lower-case texts into runs of letters, single digits, and runs of other signs; so a
+    stretch of ASCII and accented Latin letters is cut that way here, and each run goes to the library's BPE
+    model.  A stretch with an apostrophe or any other character goes through the library whole.  The strings
+    of special tokens are ordinary text.
     """
 
-    # The vocabulary's own pattern, for lower-case words of these letters.
-    CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
-    PLAIN = r"[!-~À-ÖØ-öø-ÿ]*"
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.cut, self.plain = re.compile(self.CUT).findall, re.compile(self.PLAIN).fullmatch
         # The usual characters for bytes: printable ones stand for themselves, the others follow from 256 on.
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.shown = {b: b if b in own else next(rest) for b in range(256)}
-        self.runs = WordCache(self._encode_runs)
-        self.words = WordCache(self._encode_words)
-
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        shown = [r if r.isascii() else r.encode().decode("latin-1").translate(self.shown) for r in runs]
-        return [array("I", [t.id for t in self.model.tokenize(r)]).tobytes() for r in shown]
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        cuts = [self.cut(t.lower()) if self.plain(t) else None for t in texts]
-        other = [t for t, c in zip(texts, cuts, strict=True) if c is None]
-        whole = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else ())
-        runs = iter(self.runs.joined([c for c in cuts if c is not None]))
-        return [array("I", next(whole).ids).tobytes() if c is None else next(runs) for c in cuts]
+        self.known: dict[bytes, np.ndarray] = {}
+        self.most = most
+        self.classes = _classes()
+        rng = np.random.default_rng(1)
+        self.code = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers = np.ones(1, np.uint64)
+
+    def _new(self, words: list[bytes]) -> None:
+        if len(self.known) + len(words) > self.most:
+            for w in list(islice(self.known, len(self.known) // 2)):
+                del self.known[w]
+        other = []
+        for w in words:
+            c = self.classes[np.frombuffer(w, np.uint8)] if not w.isalpha() else None
+            if c is not None and (c.max() == 4 or b"\xc3\x97" in w or b"\xc3\xb7" in w):
+                other.append(w)
+            else:
+                shown = w.decode().lower() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.shown)
+                self.known[w] = np.array([t.id for t in self.model.tokenize(shown)], np.uint32)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False) if other else (), strict=True):
+            self.known[w] = np.array(e.ids, np.uint32)
+
+    def _cut(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words in a text that begins and ends with white space."""
+        c = self.classes[a]
+        odd = c == 4
+        odd[1:] |= (a[:-1] == 0xC3) & ((a[1:] == 0x97) | (a[1:] == 0xB7))
+        if odd.any():  # their stretches between white space are words
+            space = c == 0
+            stretch = np.cumsum(space)
+            whole = np.zeros(stretch[-1] + 1, bool)
+            whole[stretch[odd]] = True
+            c[whole[stretch] & ~space] = 5
+        edge = (c[1:] != c[:-1]) | (c[1:] == 2)
+        at = np.flatnonzero(edge) + 1
+        starts = at[c[at] != 0]
+        ends = at[c[at - 1] != 0]
+        return starts, ends
+
+    def _encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of words, number of ids of each, and all ids."""
+        a = np.frombuffer(data, np.uint8)
+        starts, ends = self._cut(a)
+        if not len(starts):
+            return starts, starts, np.zeros(0, np.uint32)
+        if len(self.powers) <= len(a):
+            base = np.full(len(a) + 1, 0x9E3779B97F4A7C15, np.uint64)
+            base[0] = 1
+            self.powers = np.cumprod(base)
+            self.inverse = np.cumprod(np.where(base == 1, base, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code[a] * self.powers[: len(a)])])
+        hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        first = order[new]
+        words = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        for k in np.flatnonzero(ends - starts >= LONG).tolist():
+            if (w := data[starts[k] : ends[k]]) != words[kind[k]]:
+                kind[k] = len(words)
+                words.append(w)
+        known = self.known
+        if unknown := [w for w in words if w not in known]:
+            self._new(unknown)
+            unknown = [w for w in words if w not in known]  # what had to go for the new ones
+            if unknown:
+                self._new(unknown)
+        ids = list(map(known.__getitem__, words))
+        sizes = np.array(list(map(len, ids)), np.int64)
+        flat, offsets = np.concatenate(ids), np.cumsum(sizes) - sizes
+        n = sizes[kind]
+        at = np.repeat(offsets[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return starts, n, flat[at]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        return self.words.joined([x.split() for x in texts])
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        lo = size = 0
+        for i, x in enumerate(texts):
+            size += len(x)
+            if size >= PART or i + 1 == len(texts):
+                out += self._encode_some(texts[lo : i + 1])
+                lo, size = i + 1, 0
+        return out
+
+    def _encode_some(self, texts: list[bytes]) -> list[bytes]:
+        if len(texts) == 1 and len(texts[0]) > 2 * PART:  # a very long text, in parts
+            parts, at, text = [], 0, texts[0]
+            while at < len(text):
+                end = at + PART
+                while end < len(text) and text[end] not in SPACE:
+                    end += 1
+                parts += self._encode_some([text[at:end]])
+                at = end
+            return [b"".join(parts)]
+        # A capital before an accent of its own could compose otherwise than its small letter.
+        low = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in texts]
+        data = b" " + b" ".join(low) + b" "
+        starts, n, ids = self._encode(data)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.searchsorted(starts, ends, "right")])].tolist()
+        little = ids.astype("<u4", copy=False)
+        return [little[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 _coders: dict[str, WordBpe] = {}
