@@ -34,7 +34,7 @@ _PAIR = (1 << 32) | 1
 
 def vector(text: Column) -> Column:
     """A text's fingerprint as an array of integers: WIDE lanes, then SIGNS / 2 pairs of counts, and the number of paragraphs."""
-    hashes = F.transform(F.split(text, ENDS), F.xxhash64)
+    hashes = F.transform(F.split(text, ENDS), lambda p: F.xxhash64(p))
     zero = F.lit(0).cast("bigint")
 
     def total(lane) -> Column:
