@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language, media, packing, secrets, simhash, token_files
+from . import byte_bpe, fingerprints, language, media, packing, secrets, simhash, substrings, token_files
 
 #: The word vocabulary's end id.
 END = 1
@@ -61,7 +61,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(documents(spark, sf_dir))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_packing, op3_secrets, op5_simhash, op6_byte_bpe, op7_fingerprints, op8_token_files, op9_language)
+    f.__name__: f for f in (op1_media, op2_packing, op3_secrets, op5_simhash, op6_byte_bpe, op7_fingerprints, op8_token_files, op9_language, op10_substrings)
 }
 ORACLES: dict[str, str] = {}
