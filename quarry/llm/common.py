@@ -49,8 +49,13 @@ def field(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+_SIMPLE = {t.simpleString(): t for t in (T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.BooleanType(), T.DoubleType())}
+
+
 def struct(*fields: tuple[str, T.DataType | str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t) if isinstance(t, str) else t) for n, t in fields])
+    """A schema; types may be given by name, those but the simplest only where there is a session."""
+    kinds = ((n, t if isinstance(t, T.DataType) else _SIMPLE.get(t) or T._parse_datatype_string(t)) for n, t in fields)
+    return T.StructType([T.StructField(n, t) for n, t in kinds])
 
 
 def raw(column: pa.Array) -> pa.Array:

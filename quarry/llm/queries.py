@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language, media, packing, secrets, simhash, substrings, token_files
+from . import byte_bpe, fingerprints, language, media, ngram_lm, packing, secrets, simhash, substrings, token_files
 
 #: The word vocabulary's end id.
 END = 1
@@ -41,6 +41,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ngram_lm.scores(documents(spark, sf_dir), held_out)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(documents(spark, sf_dir)))
 
@@ -66,6 +71,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_packing, op3_secrets, op5_simhash, op6_byte_bpe, op7_fingerprints, op8_token_files, op9_language, op10_substrings)
+    f.__name__: f for f in (op1_media, op2_packing, op3_secrets, op4_ngram_lm, op5_simhash, op6_byte_bpe, op7_fingerprints, op8_token_files, op9_language, op10_substrings)
 }
 ORACLES: dict[str, str] = {}
