@@ -35,7 +35,7 @@ BLOCK = 1024
 #: Compression levels of long texts, and of those up to SHORT characters, where every match counts.
 LEVEL, SHORT_LEVEL, SHORT = 3, 19, 300
 #: Relative margin that gives score 1, and the least score that is not rejected.
-SURE, LEAST = 0.15, 0.02
+SURE, LEAST = 0.15, 0.01
 
 _letter = re.compile(r"[^\W\d_]")
 _other = re.compile(r"[\W\d_]+")

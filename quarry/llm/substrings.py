@@ -464,9 +464,10 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` without the repeats in ``text_col``; characters that a repeat cuts in two go whole. A null text stays null."""
-    spans = repeated_spans(df, id_col, text_col, **options).withColumnsRenamed({"uid": "_uid", "spans": "_spans"})
+    other, own = (next(n for n in map(f"{name}{{}}".format, range(len(df.columns) + 1)) if n not in df.columns) for name in ("uid", "spans"))
+    spans = repeated_spans(df, id_col, text_col, **options).withColumnsRenamed({"uid": other, "spans": own})
     uid = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    joined = df.join(spans.hint("shuffle_hash"), uid == F.col("_uid"), "left").drop("_uid")
+    joined = df.join(spans.hint("shuffle_hash"), uid == F.col(other), "left").drop(other)
     at, last = df.columns.index(text_col), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
