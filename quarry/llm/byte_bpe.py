@@ -121,9 +121,13 @@ def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
             k = np.arange(len(spots))
             spots = spots[(k - np.maximum.accumulate(np.where(linked, 0, k))) % 2 == 0]
         gone = right[spots]
+        after = right[gone]
+        # Of two that touch, the left one comes first and meets the right one's token as it was.
+        touch = np.flatnonzero(after[:-1] == spots[1:])
+        if len(touch) and (low := merges.of(np.full(len(touch), r), token[after[touch]]) < r).any():
+            alone.append(spots[touch[low]])
         token[spots], token[gone] = r, -1
         rank[gone] = merges.NONE
-        after = right[gone]
         right[spots], left[after] = after, spots
         before = left[spots]
         before = before[before >= 0]
