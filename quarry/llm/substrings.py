@@ -61,7 +61,7 @@ class Rolling:
     def __init__(self, text: np.ndarray):
         n = len(text) + 1
         if len(Rolling._powers) < n:
-            size = max(n, SLICE + PIECE)
+            size = max(n, max(SLICE, PIECE) + 4096)
             for name, base in (("_powers", _BASE), ("_inverses", _BASE_INVERSE)):
                 x = np.full(size, base, np.uint64)
                 x[0] = 1

@@ -9,6 +9,7 @@ looked up or encoded, and their ids are put in place for all.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
 from itertools import islice
 
@@ -93,7 +94,7 @@ class WordBpe:
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.shown = {b: b if b in own else next(rest) for b in range(256)}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # little-endian unsigned 32-bit ids
         self.most = most
         self.classes = _classes()
         rng = np.random.default_rng(1)
@@ -111,9 +112,9 @@ class WordBpe:
                 other.append(w)
             else:
                 shown = w.decode().lower() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.shown)
-                self.known[w] = np.array([t.id for t in self.model.tokenize(shown)], np.uint32)
+                self.known[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False) if other else (), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
+            self.known[w] = array("I", e.ids).tobytes()
 
     def _cut(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words in a text that begins and ends with white space."""
@@ -139,7 +140,7 @@ class WordBpe:
         if not len(starts):
             return starts, starts, np.zeros(0, np.uint32)
         if len(self.powers) <= len(a):
-            base = np.full(len(a) + 1, 0x9E3779B97F4A7C15, np.uint64)
+            base = np.full(len(a) * 9 // 8 + 1, 0x9E3779B97F4A7C15, np.uint64)
             base[0] = 1
             self.powers = np.cumprod(base)
             self.inverse = np.cumprod(np.where(base == 1, base, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))
@@ -163,8 +164,8 @@ class WordBpe:
             if unknown:
                 self._new(unknown)
         ids = list(map(known.__getitem__, words))
-        sizes = np.array(list(map(len, ids)), np.int64)
-        flat, offsets = np.concatenate(ids), np.cumsum(sizes) - sizes
+        sizes = np.array(list(map(len, ids)), np.int64) // 4
+        flat, offsets = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         n = sizes[kind]
         at = np.repeat(offsets[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return starts, n, flat[at]
