@@ -34,15 +34,17 @@ _PAIR = (1 << 32) | 1
 
 def vector(text: Column) -> Column:
     """A text's fingerprint as an array of integers: WIDE lanes, then SIGNS / 2 pairs of counts, and the number of paragraphs."""
-    hashes = F.transform(F.split(text, ENDS), lambda p: F.xxhash64(p))
-    zero = F.lit(0).cast("bigint")
+    def lanes(hashes: Column) -> Column:
+        def total(lane) -> Column:
+            return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc + lane(h))
 
-    def total(lane) -> Column:
-        return F.aggregate(hashes, zero, lambda acc, h: acc + lane(h))
+        wide = [total(lambda h, i=i: F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)) for i in range(WIDE)]
+        signs = [total(lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))) for i in range(SIGNS // 2)]
+        return F.array(*wide, *signs, F.size(hashes).cast("bigint"))
 
-    wide = [total(lambda h, i=i: F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)) for i in range(WIDE)]
-    signs = [total(lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))) for i in range(SIGNS // 2)]
-    return F.array(*wide, *signs, F.size(hashes).cast("bigint"))
+    # As the variable of a lambda, the hashes are computed once for all lanes.
+    hashes = F.transform(F.split(text, ENDS), lambda p: F.xxhash64(p))
+    return F.element_at(F.transform(F.array(hashes), lanes), 1)
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
