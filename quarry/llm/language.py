@@ -37,7 +37,6 @@ LEVEL, SHORT_LEVEL, SHORT = 3, 19, 300
 #: Relative margin that gives score 1, and the least score that is not rejected.
 SURE, LEAST = 0.15, 0.01
 
-_letter = re.compile(r"[^\W\d_]")
 _other = re.compile(r"[\W\d_]+")
 
 
@@ -91,7 +90,7 @@ class Classifier:
         return [sum(len(c.compress(b)) for b in blocks) for c in coders]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.names or not text or not _letter.search(text):
+        if not self.names or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         sizes = sorted(zip(self.sizes(text), self.names, strict=True), key=lambda x: x[0])
         if len(sizes) == 1:

@@ -38,7 +38,7 @@ from .elias_fano import Trie
 
 MU = 32.0
 #: Tokens after which a part ends with its slice of the input.
-PART = 3_000_000
+PART = 1_500_000
 #: Shares of a shard's tokens beyond which a context is dealt to several shards.
 SPREAD = 4
 
@@ -56,13 +56,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    up = down = np.ones(1, np.uint64)
+    up = down = np.ones(0, np.uint64)
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                x = np.full(max(n, 5 << 20), base, np.uint64)
+                x = np.full(n * 9 // 8, base, np.uint64)
                 x[0] = 1
                 setattr(cls, name, np.cumprod(x))
         return cls.up, cls.down
@@ -145,7 +145,7 @@ def _parts(docs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, pieces, size = TaskContext.get().partitionId(), 0, [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             words, sizes = tokens(raw(batch.column("text")).to_pylist())
             pieces.append((words, sizes, batch.column("id").to_pylist(), batch.column("held").to_pylist()))
             size += len(words)
