@@ -19,7 +19,7 @@ import numpy as np
 class WordCache(dict):
     """``encode`` gets the words that are new in some texts, all at once; None is for those that have no ids of their own."""
 
-    def __init__(self, encode: Callable[[list], list[bytes | None]], most: int = 500_000):
+    def __init__(self, encode: Callable[[list], list[bytes | None]], most: int = 300_000):
         super().__init__()
         self.encode, self.most = encode, most
         self.new: dict = {}
