@@ -36,9 +36,9 @@ from .common import arrow_schema, batch_of, field, pick, raw, shared_dir, slices
 
 LENGTH = 200
 KMER = 16
-HOT = 20_000
+HOT = 10_000
 #: Bytes of a slice, of a piece of a long text, and of the small texts whose suffixes are sorted.
-SLICE, PIECE, TEXT = 4 << 20, 4 << 20, 1 << 20
+SLICE, PIECE, TEXT = 2 << 20, 2 << 20, 1 << 19
 #: No UTF-8 text has this byte.
 END = 0xFF
 
@@ -471,7 +471,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     at, last = df.columns.index(text_col), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts = batch.column(at).to_pylist()
             for i in np.flatnonzero(batch.column(last).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 texts[i] = _kept(texts[i].encode(), *merged(batch.column(last)[i])).decode(errors="ignore")

@@ -396,7 +396,7 @@ def test_substrings(docs, empty):
     assert substrings.digest(empty).count() == 0 and substrings.removed(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [10_000, 2])
 def test_substrings_of_few_letters(spark, monkeypatch, hot):
     rng = np.random.default_rng(8)
     base = bytes(rng.choice(list(b"ab"), 3000).tolist())
