@@ -58,7 +58,7 @@ class WordCache(dict):
 # White space by which texts are cut.
 SPACE = b"\t\n\x0b\x0c\r "
 #: Bytes of text that are cut at once, and the length from which words of one hash are compared.
-PART, LONG = 4 << 20, 256
+PART, LONG = 3 << 20, 256
 
 
 def _classes() -> np.ndarray:
@@ -83,7 +83,7 @@ class WordBpe:
     of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
