@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import byte_bpe, fingerprints, language, media, ngram_lm, packing, secrets, simhash, substrings, token_files, words
+from quarry.llm import byte_bpe, fingerprints, language, media, near_copies, ngram_lm, packing, secrets, simhash, substrings, token_files, words
 from quarry.llm.components import components
 
 WORDS = P.path("word_bpe_49k.json")
@@ -464,3 +464,27 @@ def test_slices_by_bytes():
     cut = [b.column("text").to_pylist() for b in slices(iter([batch]), "text", 5)]
     assert cut == [["aa", None], ["bbbb"], ["c" * 50], ["d", ""]]
     assert json.dumps([len(x) for x in cut])
+
+
+def test_near_copies(spark):
+    """Pairs of five-word similarity 0.8 or more against all pairs; rows that share an id are not copies for that."""
+    rng = np.random.default_rng(12)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 90)] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for _ in range(120):
+        x = list(base[rng.integers(12)])
+        for at in rng.integers(0, 90, rng.integers(1, 5)):
+            x[at] = f"n{rng.integers(10**6)}"
+        texts.append(" ".join(x))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(str.split, texts)]
+    n, up = len(texts), list(range(len(texts)))
+    for i in range(n):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert len(set(up)) < n - 30 and sorted(r.doc_id for r in near_copies.deduplicated(df).collect()) == sorted(set(up))
+    rows = [(7, "one text of its own"), (7, "another thing altogether"), (7, "one text of its own"), (8, "one text of its own"), (None, "one text of its own")]
+    kept = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, rows[0][1]), (7, rows[1][1]), (7, rows[0][1])]

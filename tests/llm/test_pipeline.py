@@ -62,3 +62,18 @@ def test_run(spark, folder):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_few_changes(spark, folder):
+    """Copies with some words changed have a five-word similarity over 0.8 and go, though most differ in more than 2 bits."""
+    rng = np.random.default_rng(3)
+    words = [[f"w{x}" for x in rng.integers(0, 3000, 200)] for _ in range(10)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(words)]
+    for i in range(10):
+        for k in range(3):
+            copy = list(words[i])
+            for at in rng.choice(200, 3, replace=False).tolist():
+                copy[at] = f"n{rng.integers(10**6)}"
+            rows.append((100 + 3 * i + k, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, folder[0]).collect()) == list(range(10))
