@@ -30,6 +30,8 @@ RATE = 8000
 #: Frames of BLOCK samples start every HOP samples; so many peaks are kept in each.
 HOP = BLOCK // 2
 PEAKS = 3
+#: The same for a payload of one block, in which longer frames would find no two to pair.
+SHORT_HOP = 24
 #: A peak is paired with the peaks of so many following frames.
 REACH = 2
 #: Frames that are transformed at once.
@@ -57,10 +59,10 @@ def read_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def spectrum_peaks(samples: np.ndarray) -> np.ndarray:
+def spectrum_peaks(samples: np.ndarray, hop: int = HOP) -> np.ndarray:
     """Bins of the strongest local maxima of each frame, ascending; 0 stands for none. Shape (frames, PEAKS)."""
-    halves = samples[: len(samples) // HOP * HOP].reshape(-1, HOP)
-    window = np.hanning(2 * HOP).astype(np.float32)
+    halves = samples[: len(samples) // hop * hop].reshape(-1, hop)
+    window = np.hanning(2 * hop).astype(np.float32)
     n = len(halves) - 1
     out = np.zeros((max(n, 0), PEAKS), np.int64)
     for lo in range(0, n, CHUNK):
@@ -90,6 +92,14 @@ def peak_pairs(peaks: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    """The pairs of peaks; one block alone, between two silent hops, has frames of 2 * SHORT_HOP samples."""
+    if len(samples) > BLOCK:
+        return peak_pairs(spectrum_peaks(samples))
+    silence = np.full(SHORT_HOP, 128, np.uint8)
+    return peak_pairs(spectrum_peaks(np.concatenate([silence, samples, silence]), SHORT_HOP))
+
+
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``id_col``, ``n_bytes`` (before filling up) and ``media``, a WAV that holds the text without loss."""
     schema = struct((id_col, field(df, id_col)), ("n_bytes", "bigint"), ("media", "binary"))
@@ -125,7 +135,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 rows["tail_crc32"].append(zlib.crc32(payload[-32:]))
                 rows["media_bytes"].append(len(x))
                 rows["media_sha256"].append(hashlib.sha256(x).hexdigest())
-                rows["fingerprint"].append(peak_pairs(spectrum_peaks(np.frombuffer(payload, np.uint8))))
+                rows["fingerprint"].append(fingerprint(np.frombuffer(payload, np.uint8)))
             yield batch_of(arrow, **{id_col: batch.column("id"), "n_bytes": batch.column("n_bytes")}, **rows)
 
     return pick(media, id=id_col, n_bytes="n_bytes", media="media").mapInArrow(run, schema)

@@ -466,6 +466,14 @@ def test_slices_by_bytes():
     assert json.dumps([len(x) for x in cut])
 
 
+def test_media_of_short_texts():
+    """Texts of one block have features of their own, as longer ones do."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"abcdefghij klmnopqrst"), n).tolist()) for n in range(8, 577, 8)]
+    found = [media.fingerprint(np.frombuffer(media.pad(x), np.uint8)) for x in texts]
+    assert all(len(x) for x in found) and len({x.tobytes() for x in found}) == len(texts)
+
+
 def test_near_copies(spark):
     """Pairs of five-word similarity 0.8 or more against all pairs; rows that share an id are not copies for that."""
     rng = np.random.default_rng(12)
