@@ -101,20 +101,25 @@ class WordBpe:
         self.code = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.powers = np.ones(1, np.uint64)
 
-    def _new(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            for w in list(islice(self.known, len(self.known) // 2)):
-                del self.known[w]
-        other = []
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the table doesn't have."""
+        new, other = {}, []
         for w in words:
             c = self.classes[np.frombuffer(w, np.uint8)] if not w.isalpha() else None
             if c is not None and (c.max() == 4 or b"\xc3\x97" in w or b"\xc3\xb7" in w):
                 other.append(w)
             else:
                 shown = w.decode().lower() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.shown)
-                self.known[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+                new[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False) if other else (), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+            new[w] = array("I", e.ids).tobytes()
+        return new
+
+    def _make_room(self, n: int) -> None:
+        """The older half of the table goes if ``n`` more words would be too many."""
+        if len(self.known) + n > self.most:
+            for w in list(islice(self.known, (len(self.known) + 1) // 2)):
+                del self.known[w]
 
     def _cut(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words in a text that begins and ends with white space."""
@@ -158,12 +163,14 @@ class WordBpe:
                 kind[k] = len(words)
                 words.append(w)
         known = self.known
-        if unknown := [w for w in words if w not in known]:
-            self._new(unknown)
-            unknown = [w for w in words if w not in known]  # what had to go for the new ones
-            if unknown:
-                self._new(unknown)
-        ids = list(map(known.__getitem__, words))
+        ids = list(map(known.get, words))  # held here, so the table may drop them
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            self._make_room(len(missing))
+            new = self._new([words[i] for i in missing])
+            for i, x in zip(missing, map(new.__getitem__, [words[i] for i in missing]), strict=True):
+                ids[i] = x
+            known.update(islice(new.items(), max(self.most - len(known), 0)))
+            del new
         sizes = np.array(list(map(len, ids)), np.int64) // 4
         flat, offsets = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         n = sizes[kind]

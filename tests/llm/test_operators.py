@@ -474,6 +474,16 @@ def test_media_of_short_texts():
     assert all(len(x) for x in found) and len({x.tobytes() for x in found}) == len(texts)
 
 
+def test_words_of_parts_with_a_small_table():
+    """Words that a part needs may not go for its new ones."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    coder = words.WordBpe(WORDS, 10)
+    for names in ("abcdefgh", "efghijklmnop", "abcdefghijklmnopqrstuvwxyz", "wxyzabc", "ghijkl" * 3):
+        text = " ".join(x + "ord" for x in names)
+        assert np.frombuffer(coder.encode([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(coder.known) <= 10
+
+
 def test_near_copies(spark):
     """Pairs of five-word similarity 0.8 or more against all pairs; rows that share an id are not copies for that."""
     rng = np.random.default_rng(12)
