@@ -119,14 +119,18 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
 
 
 def filtered(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """``df`` without the rows that ``identify`` rejects."""
+    """``df`` without the rows that ``identify`` rejects; with no dictionary at all, only without texts that are null or have no letter."""
     at = df.columns.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(sent.value)
         for batch in slices(batches, text_col):
-            found = [model.predict(x) for x in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            if not model.names:
+                yield batch.filter(pa.array([bool(x) and any(map(str.isalpha, x)) for x in texts], pa.bool_()))
+                continue
+            found = [model.predict(x) for x in texts]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -484,6 +484,12 @@ def test_words_of_parts_with_a_small_table():
         assert len(coder.known) <= 10
 
 
+def test_language_filter_without_labels(labelled):
+    unlabelled = labelled.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.filtered(unlabelled, language.train(unlabelled))
+    assert kept.count() == 241 and kept.where("doc_id >= 900").count() == 0
+
+
 def test_near_copies(spark):
     """Pairs of five-word similarity 0.8 or more against all pairs; rows that share an id are not copies for that."""
     rng = np.random.default_rng(12)
