@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString()
 
 
+def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system for a path with its scheme, and the path there."""
+    return pa.fs.FileSystem.from_uri(path)
+
+
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession

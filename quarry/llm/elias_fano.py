@@ -134,8 +134,10 @@ class Trie:
         return Trie(contexts, pointers, successors, np.frombuffer(data, np.uint8, successors.n, 8 + 8 * n))
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair; 0 for one that is not there."""
-        out = np.zeros(len(context), np.uint8)
+        """The place of each pair among the trie's, whose code is there; -1 for one that there is none of."""
+        out = np.full(len(context), -1, np.int64)
+        if not self.contexts.n:
+            return out
         i = self.contexts.rank(context)
         there = np.flatnonzero(i < self.contexts.n)
         there = there[self.contexts.get(i[there]) == context[there].astype(np.uint64)]
@@ -148,5 +150,5 @@ class Trie:
         at = self.successors.rank(target)
         hit = np.flatnonzero(at < end)
         hit = hit[self.successors.get(at[hit]) == target[hit]]
-        out[there[hit]] = self.codes[at[hit]]
+        out[there[hit]] = at[hit]
         return out

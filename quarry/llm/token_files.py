@@ -24,14 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, pick, raw, shared_dir, slices, stored, struct
+from .common import arrow_schema, batch_of, field, opened, pick, raw, shared_dir, slices, stored, struct
 from .words import encode_texts
 
 # Fixed values of the zstandard seekable format.
@@ -104,10 +103,6 @@ class TokenFile:
         return b"".join(out)
 
 
-def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path)
-
-
 @dataclass(frozen=True)
 class TokenTable:
     """Written files: ``folder`` and the stored index (id, shard, first id in the shard, number of ids)."""

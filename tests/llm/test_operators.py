@@ -347,25 +347,64 @@ def test_language(labelled, empty, docs):
     assert {r.lang_pred for r in language.digest(docs).collect()} == {"en", "und"}
 
 
-def test_ngram_lm(docs, empty, tmp_path):
-    rule = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    found = by_id(ngram_lm.scores(docs, rule, model_path=str(tmp_path / "model")))
-    tokens = {i: re.findall(SPACE, utf8(t).lower()) + [None] for i, t in enumerate(TEXTS)}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    one = Counter(w for i, x in tokens.items() if not held[i] for w in x)
-    two = Counter(p for i, x in tokens.items() if not held[i] for p in zip([None, *x], x))
-    n, v, mu = sum(one.values()), len(one), ngram_lm.MU
+def plain_model(texts, held, order, mu):
+    """Counts of all n-grams, and each document's tokens with their probabilities."""
+    tokens = {i: re.findall(SPACE, utf8(t).lower()) + [None] for i, t in texts.items()}
+    counts = [Counter() for _ in range(order + 1)]
     for i, x in tokens.items():
-        r = found[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(x), sum(one[w] > 0 for w in x), n)
-        assert r.base_score == pytest.approx(sum(log10((one[w] + 1) / (n + v + 1)) for w in x))
-        exact = sum(log10(two[h, w] / (one[h] + mu) + mu / (one[h] + mu) * (one[w] + 1) / (n + v + 1)) for h, w in zip([None, *x], x))
-        assert r.score == pytest.approx(exact, rel=0.02, abs=5e-4 * len(x))  # a code is within 3.7 % of its probability
-    assert docs.sparkSession.read.parquet(str(tmp_path / "model")).count() > 0
+        if not held[i]:
+            counts[1].update((w,) for w in x)
+            for k in range(2, order + 1):
+                counts[k].update(tuple(y[j : j + k]) for y in [[None, *x]] for j in range(len(y) - k + 1))
+    n, v = counts[1].total(), len(counts[1])
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[1][gram] + 1) / (n + v + 1)
+        total, m = counts[len(gram) - 1][gram[:-1]], mu[min(len(gram) - 2, len(mu) - 1)]
+        return (counts[len(gram)][gram] + m * p(gram[1:])) / (total + m)
+
+    # The context of a document's first words goes back to the end before it, and no further.
+    score = {i: sum(log10(p(tuple([None, *x][max(0, j + 2 - order) : j + 2]))) for j in range(len(x))) for i, x in tokens.items()}
+    return counts[1], n, v, tokens, score
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ngram_lm(docs, empty, tmp_path, order, monkeypatch):
+    """Against all counts; tokens that copies and long contexts share, several shards, and contexts that are split among them."""
+    rule = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    texts = dict(enumerate(TEXTS))
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    one, n, v, tokens, score = plain_model(texts, held, order, ngram_lm.MU)
+    for size in (1 << 23, 4000):
+        found = by_id(ngram_lm.scores(docs, rule, order=order, model_path=str(tmp_path / "model"), shard_bytes=size))
+        for i, x in tokens.items():
+            r = found[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(x), sum(one[w,] > 0 for w in x), n)
+            assert r.base_score == pytest.approx(sum(log10((one[w,] + 1) / (n + v + 1)) for w in x))
+            assert r.score == pytest.approx(score[i], rel=0.02, abs=0.02 + 1e-3 * len(x))  # a code is within 0.007 of its logarithm here
+        tries = docs.sparkSession.read.parquet(str(tmp_path / "model"))
+        assert {r.level for r in tries.select("level").distinct().collect()} == set(range(2, order + 1))
     assert ngram_lm.scores(empty, rule).count() == 0
     assert {(r.base_score, r.score) for r in ngram_lm.scores(docs.limit(3), F.lit(True)).collect()} == {(0.0, 0.0)}
 
 
+def test_words_of_equal_polynomial_hash(spark):
+    """Two words of 1024 letters, one the other with its letters swapped, which polynomial hashes modulo 2**64 can't tell apart."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, two), (None, one)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in ngram_lm.scores(df, F.col("doc_id") == 2).collect()}
+    assert (found[1].n_known, found[2].n_known, found[1].train_tokens) == (2, 1, 2) and found[None].held_out and found[None].n_known == 2
+
+
+def test_repeated_rows_of_the_model(spark):
+    rows = [(1, "a b a b c"), (1, "a b a b c"), (2, "a b"), (2, "b a c " * 400), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ngram_lm.scores(df, F.lit(False)).collect())
+    assert sorted(found.values()) == [1, 1, 1, 2] and sum(found.values()) == len(rows)
+
+
 def covered(texts, length):
     count = Counter(x[i : i + length] for x in texts.values() for i in range(len(x) - length + 1))
     out = {}
