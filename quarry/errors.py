@@ -27,3 +27,7 @@ class NotAnEquiJoin(QuarryError):
 
 class NoSchema(QuarryError):
     """There are no data to take the columns from."""
+
+
+class NoSharedFolder(QuarryError):
+    """A cluster's session names no folder for what has to be kept."""

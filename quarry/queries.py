@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from .engine import Engine
 from .operators import rowids
-from .plans import CreateTable, GetTable, HashBucketJoin, HashJoin, InsertRow, NestedLoopJoin, Node, Projection, Scan, opaque
-from .sources import files
+from .plans import CreateTable, DropTable, GetTable, HashBucketJoin, HashJoin, InsertRow, NestedLoopJoin, Node, Projection, Scan, opaque
+from .sources import files, generate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,8 +104,12 @@ _frame(
     "SELECT rid FROM (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS rid, o_custkey FROM orders) t WHERE o_custkey = 7",
 )
 _frame(
-    "gather", lambda spark, d: rowids.gather(_table(spark, d, "nation"), "n_name", [1, 3], "n_nationkey"),
-    "SELECT n_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rid, n_name FROM nation) t WHERE rid IN (1, 3)",
+    "gather", lambda spark, d: rowids.gather(_table(spark, d, "nation"), "n_name", [3, 0, 3], "n_nationkey", positions=True),
+    "SELECT CAST(pos AS BIGINT) AS pos, n_name FROM (VALUES (0, 3), (1, 0), (2, 3)) ids(pos, id) JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rid, n_name FROM nation) t ON rid = id",
+)
+_frame(
+    "gather_all", lambda spark, d: rowids.gather(_table(spark, d, "orders"), "o_custkey", None, "o_orderkey", positions=True),
+    "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, o_custkey FROM orders",
 )
 _frame(
     "gather_optional", lambda spark, d: rowids.gather_optional(_table(spark, d, "nation"), "n_name", [1, 3], "n_nationkey"),
@@ -124,6 +128,55 @@ _frame(
     "SELECT CAST(l.rid AS BIGINT) AS left_row, CAST(r.rid AS BIGINT) AS right_row FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rid, n_regionkey FROM nation) l JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS rid, r_regionkey FROM region) r ON l.n_regionkey = r.r_regionkey",
 )
 _frame("column_size", lambda spark, d: rowids.column_size(_table(spark, d, "lineitem"), "l_orderkey"), "SELECT count(*) AS size FROM lineitem")
+_frame(
+    "partitions", lambda spark, d: rowids.partitions(generate.uniform(spark, ["a"], 1000, 300, 50)),
+    "SELECT CAST(range AS INTEGER) AS partition, CAST(250 AS BIGINT) AS n FROM range(4)",
+)
+_frame(
+    "generated", lambda spark, d: generate.uniform(spark, ["a", "b"], 1000, 300, 50).selectExpr("count(*) AS n", "min(a) >= 0 AND max(a) < 50 AND min(b) >= 0 AND max(b) < 50 AS within"),
+    "SELECT CAST(1000 AS BIGINT) AS n, TRUE AS within",
+)
+
+
+def _named(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+def _engine(spark: SparkSession, folder: str) -> Engine:
+    engine = Engine(spark)
+    for name in ("nation", "region"):
+        engine.register(name, _table(spark, folder, name))
+    return engine
+
+
+def _drop_table(spark: SparkSession, folder: str) -> DataFrame:
+    engine = _engine(spark, folder)
+    engine.query(DropTable("region"))
+    return _named(spark, engine.list_tables())
+
+
+def _insert_rows(spark: SparkSession, folder: str) -> DataFrame:
+    engine = _engine(spark, folder)
+    before = engine.query(GetTable("region"))
+    for k in range(3):
+        engine.query(InsertRow(GetTable("region"), (100 + k, f"new {k}")))
+    return engine.query(GetTable("region")).exceptAll(before)
+
+
+def _materialize(spark: SparkSession, folder: str) -> DataFrame:
+    engine = _engine(spark, folder)
+    columns = engine.materialize(engine.query(Projection(GetTable("nation"), ["n_nationkey", "n_name"])))
+    return spark.createDataFrame(list(zip(*columns.values(), strict=True)), "n_nationkey int, n_name string")
+
+
+_DATA = {0: {"a": [1, 2], "b": [3, 4]}, 1: {"a": [5, 2], "b": [7, 4]}}
+_frame("create_table", lambda spark, d: Engine(spark).query(CreateTable("t", _DATA)), "SELECT * FROM (VALUES (1, 3), (2, 4), (5, 7), (2, 4)) t(a, b)")
+_frame("drop_table", _drop_table, "SELECT 'nation' AS name")
+_frame("list_tables", lambda spark, d: _named(spark, _engine(spark, d).list_tables()), "SELECT * FROM (VALUES ('nation'), ('region')) t(name)")
+_frame("list_columns", lambda spark, d: _named(spark, _table(spark, d, "orders").columns), "SELECT column_name AS name FROM (DESCRIBE orders)")
+_frame("insert_rows", _insert_rows, "SELECT * FROM (VALUES (100, 'new 0'), (101, 'new 1'), (102, 'new 2')) t(r_regionkey, r_name)")
+_frame("materialize", _materialize, "SELECT n_nationkey, n_name FROM nation")
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["hash_join_scans"](spark, folder)

@@ -54,3 +54,28 @@ def test_probe(spark):
     left = spark.createDataFrame([(0, 5), (1, 5), (2, 4)], "k int, v int")
     right = spark.createDataFrame([(0, 4), (1, 5), (2, 7)], "k int, v int")
     assert Counter(map(tuple, rowids.probe_indices(left, right, "v", "v", "k", "k").collect())) == Counter([(0, 1), (1, 1), (2, 0)])
+
+
+def test_columns_of_any_name(spark):
+    """Columns may have the names that are used inside."""
+    names = ["id", "task", "before", "rid", "pos", "value_", "c0", "k0", "at", "a b"]
+    df = spark.createDataFrame([tuple(range(i, i + len(names))) for i in range(4)], names)
+    for n in names:
+        assert one(rowids.gather(df, n, [3, 0, 3], names[-1])) == [names.index(n) + k for k in (3, 0, 3)]
+        assert [r[1] for r in sorted(map(tuple, rowids.gather_optional(df, n, [1], "id").collect()))] == [None, names.index(n) + 1, None, None]
+        assert one(rowids.filter_row_ids(df, n, lambda c, n=n: c == names.index(n) + 2, "rid")) == [2]
+    assert rowids.with_row_ids(df, "task", "rid_").columns == [*names, "rid_"]
+    assert {tuple(r) for r in rowids.hash_entries(df, "rid", "id").collect()} == {(3 + i, i, 3 + i) for i in range(4)}
+    assert {tuple(r) for r in rowids.probe_indices(df, df, "task", "id", "id", "pos").collect()} == {(i, i + 1) for i in range(3)}
+
+
+def test_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (None, 2), (1, 5)], "k int, v int")
+    rows = rowids.with_row_ids(df, "k").collect()
+    assert sorted(r.rid for r in rows) == [0, 1, 2, 3] and [r.rid for r in rows if r.k is None] == [0]
+    assert rowids.filter_row_ids(df, "v", lambda c: c > 1, "k").count() == 2 and rowids.column_size(df, "v").first().size == 4
+    assert sorted(map(tuple, rowids.gather(df, "v", [0, 9], "k", positions=True).collect())) == [(0, 2)]
+
+
+def test_partitions(spark):
+    assert {tuple(r) for r in rowids.partitions(spark.range(0, 10, 1, 2)).collect()} == {(0, 5), (1, 5)}
