@@ -12,18 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..catalog import checkpoints
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, with its scheme, which all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(base)
+def shared_dir(spark: SparkSession, name: str | None = None) -> str:
+    """A folder under ``spark.checkpoint.dir``, with its scheme, which all executors can reach; a new one without a ``name``."""
+    base = checkpoints(spark)
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base}/quarry-{uuid.uuid4().hex}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name or f'quarry-{uuid.uuid4().hex}'}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.makeQualified(path).toString()
 

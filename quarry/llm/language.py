@@ -7,8 +7,8 @@ own dictionary.  The smallest sum names the language.  Its margin over the next
 is the score after scaling to 0..1; ``identify`` rejects what has no letter or too small a margin.
 
 Training takes, for each language, labelled documents in the order of a hash of their text until they
-have ``SAMPLE`` bytes, and at most ``ROWS`` of them; each gives one block, from its middle.  Languages are
-expected to be few: their dictionaries, ``SAMPLE`` bytes each, are sent to all tasks.
+have ``SAMPLE`` bytes, and at most ``ROWS`` of them; each gives ``part`` characters from its middle.  All dictionaries,
+``SAMPLE`` bytes each, are sent to all tasks, so more than ``LANGUAGES`` different labels are refused.
 
 Cases: a null text, or one without a letter, is ``UNKNOWN`` with score 0, as is every text if nothing is
 labelled; with one language alone every text with letters is of it, with score 1; equal sizes go to the
@@ -31,6 +31,8 @@ from .common import arrow_schema, field, batch_of, pick, slices, struct
 UNKNOWN = "und"
 #: Bytes of a language's dictionary, and documents that it may come from.
 SAMPLE, ROWS = 96_000, 400
+#: The most languages, and the groups that each language's documents are dealt to before its first ones are taken from the first of all groups.
+LANGUAGES, GROUPS = 500, 32
 BLOCK = 1024
 #: Compression levels of long texts, and of those up to SHORT characters, where every match counts.
 LEVEL, SHORT_LEVEL, SHORT = 3, 19, 300
@@ -45,20 +47,25 @@ def plain(text: str) -> str:
     return _other.sub(" ", text.lower())
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS) -> dict[str, bytes]:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS, part: int = BLOCK) -> dict[str, bytes]:
     """Dictionaries of at most ``sample`` bytes by language, the most frequent first, from at most ``rows`` documents of each; null labels and texts are left out."""
+    counts = pick(df, lang=lang_col).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    often = {r.lang: r.n for r in counts}
     docs = pick(df, text=text_col, lang=lang_col).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    # Copies have one hash; each task keeps its ``rows`` least before any go further.
-    order = Window.partitionBy("lang").orderBy("h")
-    least = docs.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
-    middle = F.expr(f"substring(text, greatest(1, cast(length(text) / 2 - {BLOCK // 2} as int)), {BLOCK})")
-    parts = docs.join(F.broadcast(least), ["lang", "h"]).select("lang", "h", middle.alias("part"))
+    # Copies have one hash.  A group's first rows are taken before those of all groups meet: that is rows * GROUPS for a language at most.
+    least = docs.select("lang", "h", F.pmod("h", F.lit(GROUPS)).alias("group")).distinct()
+    for keys in (["lang", "group"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h")
+        least = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
+    middle = F.expr(f"substring(text, greatest(1, cast(length(text) / 2 - {part // 2} as int)), {part})")
+    parts = docs.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", middle.alias("part"))  # rows * LANGUAGES at most
     chosen = parts.groupBy("lang", "h").agg(F.min("part").alias("part")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(chosen, key=lambda r: (r.lang, r.h)):
         if len(out.setdefault(r.lang, b"")) < sample:
             out[r.lang] += plain(r.part).encode()[: sample - len(out[r.lang])]
-    often = {r.lang: r.n for r in pick(df, lang=lang_col).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return dict(sorted(out.items(), key=lambda x: (-often.get(x[0], 0), x[0])))
 
 

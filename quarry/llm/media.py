@@ -142,7 +142,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``read_media(to_media(df))`` with the fingerprint as ``feature``: its length and 64-bit hash."""
+    """``read_media(to_media(df))`` with a digest of the fingerprint as ``feature``: its length and 64-bit hash."""
     out = read_media(to_media(df, id_col, text_col), id_col)
     digest = F.concat_ws(":", F.size("fingerprint").cast("string"), F.lower(F.hex(F.xxhash64("fingerprint"))))
-    return out.withColumn("feature", digest).drop("fingerprint")
+    return out.withColumn("feature", digest)

@@ -14,7 +14,8 @@ Equal fingerprints are one before anything is sent, so a group of copies, howeve
 With two blocks there are 2**24 anchors and 61 copies of a fingerprint on average for a threshold of 2.
 
 Cases: null text is empty; a text without words has fingerprint zero, linked like any other; a text with
-fewer words than a shingle is one shingle; repeated rows have one fingerprint and component; rows of
+fewer words than a shingle is one shingle; very long texts are hashed whole, some shingles at a time; repeated rows have one fingerprint and component; rows
+that share an id are one node; rows of
 null id keep a null component unless linked with others; an empty table gives an empty table; other
 columns are not read, or kept as they are by ``deduplicated``.
 """
@@ -23,12 +24,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, field, pick, raw, slices, stored, struct
@@ -40,31 +41,31 @@ SEED = 42
 BLOCK, RADIUS = 23, 3
 #: Blocks that the code covers, from the lowest bit on.
 BLOCKS = 2
+#: Fingerprints that a task sends to their anchors, and bytes of shingle hashes that are summed at once.
+DEALT, SUMMED = 20_000, 1 << 20
 # Fixed value: the generator polynomial of the perfect binary Golay code.
 GOLAY = 0b110001110101
 
 
+def shingles(text: bytes, shingle: int = SHINGLE) -> Iterator[bytes]:
+    """A text's word shingles, with repeats; the whole sequence of fewer words."""
+    words = text.lower().split()
+    if len(words) > shingle:
+        return map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return iter([b" ".join(words)] if words else [])
+
+
 def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """Of each text, as unsigned 64-bit integers."""
-    hashes, counts = [], []
-    for text in texts:
-        words = text.lower().split()
-        if len(words) > shingle:
-            shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-        else:
-            shingles = iter([b" ".join(words)] if words else [])
-        digests = b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED)))
-        hashes.append(digests)
-        counts.append(len(digests) // 8)
-    n = np.array(counts, np.int64)
     out = np.zeros(len(texts), np.uint64)
-    if not n.sum():
-        return out
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).reshape(-1, 64)
-    some = np.flatnonzero(n)
-    starts = (np.cumsum(n) - n)[some]
-    ones = np.stack([bits[a : a + k].sum(axis=0, dtype=np.int64) for a, k in zip(starts.tolist(), n[some].tolist(), strict=True)])
-    out[some] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
+    for k, text in enumerate(texts):
+        n, ones = 0, np.zeros(64, np.int64)
+        digests = map(xxhash.xxh64_digest, shingles(text, shingle), repeat(SEED))
+        while part := b"".join(islice(digests, SUMMED // 8)):
+            n += len(part) // 8
+            ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        if n:
+            out[k] = np.packbits(2 * ones > n).view(">u8")[0]
     return out
 
 
@@ -148,6 +149,7 @@ def at_anchors(fps: DataFrame, distance: int, blocks: int = BLOCKS) -> DataFrame
 
 def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``a`` and ``b``, the ``rep`` of every two fingerprints that differ in ``distance`` bits or fewer, once for each pair."""
+    fps = fps.repartition(-(-fps.count() // DEALT) or 1)  # each makes many rows
     home = at_anchors(fps, 0, blocks).select("anchor", F.col("fp").alias("home_fp"), F.col("rep").alias("a"))
     guests = at_anchors(fps, distance, blocks).select("anchor", "fp", F.col("rep").alias("b"))
     near = (F.col("home_fp") < F.col("fp")) & (F.bit_count(F.col("home_fp").bitwiseXOR(F.col("fp"))) <= distance)
@@ -178,14 +180,15 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each component, that of the smallest id.
+    """``df`` with one document of each component: that of the least id and, of rows that share it, of the least hash of the text.
 
-    Of rows that share that id, one stays.  Rows of null id, which nothing can name, all stay.
+    Rows that share an id are not copies for that.  Rows of null id, which nothing can name, all stay.
     """
-    found = near_duplicates(df, id_col, text_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept")).distinct()
-    nth = next(n for n in map("nth{}".format, range(len(df.columns) + 1)) if n not in df.columns)
-    key = df[f"`{id_col}`"]
-    rows = df.join(kept, key == F.col("kept"), "left_semi")
-    first = rows.withColumn(nth, F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))).where(F.col(nth) == 1).drop(nth)
-    return first.unionByName(df.where(key.isNull()))
+    node = next(n for n in map("node{}".format, range(len(df.columns) + 1)) if n not in df.columns)
+    key, hashed = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    marked = df.where(key.isNotNull()).withColumn(node, hashed)
+    texts = marked.groupBy(node).agg(F.first(F.col(f"`{text_col}`")).alias("text"), F.min(key).alias("id")).withColumnRenamed(node, "node")
+    found = near_duplicates(texts, "node", "text", **options).select("node", "component")
+    kept = found.join(texts.select("node", "id"), "node").groupBy("component").agg(F.min(F.struct("id", "node")).alias("row")).select(F.col("row.id").alias(f"{node}_id"), F.col("row.node").alias(f"{node}_kept"))
+    some = marked.join(kept, (key == kept[f"{node}_id"]) & (F.col(node) == kept[f"{node}_kept"]), "left_semi")
+    return some.dropDuplicates([id_col, node]).drop(node).unionByName(df.where(key.isNull()))

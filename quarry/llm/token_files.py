@@ -140,7 +140,8 @@ class TokenTable:
                         yield batch_of(arrow, ids=ids, **{n: part.column(n) for n in arrow.names[:-1]})
                         ids, size, lo = [], 0, i + 1
 
-        dealt = index.select(*arrow.names[:-1]).repartition("shard").sortWithinPartitions("shard", "first")
+        files = (self.index.agg(F.max("shard")).first()[0] or 0) + 1  # a task for each, however small the index
+        dealt = index.select(*arrow.names[:-1]).repartition(files, "shard").sortWithinPartitions("shard", "first")
         return dealt.mapInArrow(run, schema)
 
 

@@ -1,7 +1,8 @@
 """Encoding by words: a text's ids are the joined ids of its words, each word encoded once per worker.
 
 ``WordCache`` keeps the little-endian unsigned 32-bit ids of words as bytes, so that a document's ids
-are one join.  It is bounded: beyond ``most`` words the older half goes.  ``WordBpe`` encodes by the
+are one join.  It is bounded: beyond ``most`` words the older half goes, and words of more than ``KEEP`` bytes, such as
+whole texts in scripts without spaces, are never kept.  ``WordBpe`` encodes by the
 tokenizers library: NumPy finds the words of many texts at once and their different ones, only those are
 looked up or encoded, and their ids are put in place for all.
 """
@@ -16,6 +17,10 @@ from itertools import islice
 import numpy as np
 
 
+#: The longest words that a table keeps; with the number of words, this bounds its bytes.
+KEEP = 64
+
+
 class WordCache(dict):
     """``encode`` gets the words that are new in some texts, all at once; None is for those that have no ids of their own."""
 
@@ -42,7 +47,7 @@ class WordCache(dict):
             if len(self) + len(new) > self.most:
                 for w in list(islice(self, len(self) // 2)):
                     del self[w]
-            self.update(zip(new, ids, strict=True))
+            self.update((w, x) for w, x in islice(zip(new, ids, strict=True), self.most) if len(w) <= KEEP)
             if None in ids:
                 none = {w for w, x in zip(new, ids, strict=True) if x is None}
                 found = [[None] if not none.isdisjoint(words) else x for words, x in zip(texts, found, strict=True)]
@@ -169,7 +174,7 @@ class WordBpe:
             new = self._new([words[i] for i in missing])
             for i, x in zip(missing, map(new.__getitem__, [words[i] for i in missing]), strict=True):
                 ids[i] = x
-            known.update(islice(new.items(), max(self.most - len(known), 0)))
+            known.update(islice(((w, x) for w, x in new.items() if len(w) <= KEEP), max(self.most - len(known), 0)))
             del new
         sizes = np.array(list(map(len, ids)), np.int64) // 4
         flat, offsets = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
