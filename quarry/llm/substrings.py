@@ -13,8 +13,10 @@ another, is found.  The corpus is cut so that equal strings meet, without a suff
    doubling; longest common prefixes of neighbours make intervals, which a stack scan visits inner first.  An interval of
    at least ``length`` whose suffixes are not all preceded by one character is a maximal repeat with all its
    occurrences.  (The start of a segment counts as a character of its own: what comes before is in another segment.)
-4. An anchor with more than ``hot`` different segments is not gathered: the hashes of its segments' windows
-   are counted, summed before they are sent.
+4. An anchor with more than ``hot`` different segments is not gathered: its segments are cut by the k-mer of the next least hash in each window,
+   which equal windows share as well, and go through steps 2 and 3 by both, and so on until no group is larger.
+
+Texts are kept with a number of their own, and segments are told apart by 128-bit hashes of their bytes.
 
 Cases: null text is empty; texts shorter than ``length`` have no repeat; rows of one id and text are texts of
 their own, and repeat each other; texts of any length are scanned whole, in pieces; an empty table gives an empty
@@ -25,12 +27,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_schema, batch_of, field, pick, raw, shared_dir, slices, stored, struct
 
@@ -237,24 +242,33 @@ def repeats(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterato
 # -- the distributed steps -----------------------------------------------------------------------------
 
 
+_SEGMENTS = struct(("key", "bigint"), ("seg", "bigint"), ("seg2", "bigint"), ("size", "int"), ("n", "int"), ("uid", "bigint"), ("lo", "bigint"))
+
+
+def _segment_batch(data: bytes, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, uid: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Segments of ``data``, which are at ``at`` in the text ``uid``: ``n`` is 2 for one that is there again, 0 for such another place of it."""
+    digests = b"".join(map(xxhash.xxh3_128_digest, map(data.__getitem__, map(slice, lo.tolist(), hi.tolist()))))
+    seg, seg2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+    order = np.lexsort((seg2, seg, key))
+    key, seg, seg2, uid, at, size = (x[order] for x in (key, seg, seg2, uid, at, hi - lo))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]) | (seg2[1:] != seg2[:-1])
+    again = np.append(~new[1:], np.zeros(min(len(new), 1), bool))
+    n = np.where(new, 1 + again, 0)
+    # Further places need not meet anything: they are dealt evenly.
+    key = np.where(new, key, _mixed(uid.view(np.uint64) + at.astype(np.uint64)).view(np.int64))
+    return batch_of(arrow_schema(_SEGMENTS), key=key, seg=seg, seg2=seg2, size=size, n=n, uid=uid, lo=at)
+
+
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of all texts: ``n`` is 2 for one that its slice has again, 0 for such another place of it."""
-    arrow = arrow_schema(schema := struct(("key", "bigint"), ("seg", "bigint"), ("n", "int"), ("uid", "bigint"), ("lo", "bigint")))
+    """Segments of all texts, equal ones of a slice as one."""
 
     def emit(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        ends = np.cumsum([len(x) for _, _, x in pieces])
-        owner, lo, _, key, seg = segments(np.frombuffer(b"".join(x for _, _, x in pieces), np.uint8), ends, length)
+        ends, data = np.cumsum([len(x) for _, _, x in pieces]), b"".join(x for _, _, x in pieces)
+        owner, lo, hi, key, _ = segments(np.frombuffer(data, np.uint8), ends, length)
         uid = np.array([u for u, _, _ in pieces], np.int64)[owner]
         base = np.array([b for _, b, _ in pieces], np.int64) - np.concatenate([[0], ends[:-1]])
-        lo = lo + base[owner]
-        order = np.lexsort((seg, key))
-        key, seg, uid, lo = key[order], seg[order], uid[order], lo[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])]) if len(key) else np.zeros(0, bool)
-        again = np.concatenate([~new[1:], [False]]) if len(key) else new
-        n = np.where(new, 1 + again, 0)
-        # Further places need not meet anything: they are dealt evenly.
-        key = np.where(new, key, _mixed(uid.view(np.uint64) + lo.astype(np.uint64)).view(np.int64))
-        return batch_of(arrow, key=key, seg=seg, n=n, uid=uid, lo=lo)
+        return _segment_batch(data, lo, hi, key, uid, lo + base[owner])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, size = [], 0
@@ -270,7 +284,38 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
         if pieces:
             yield emit(pieces)
 
-    return docs.select("uid", "text").mapInArrow(run, schema)
+    return docs.select("uid", "text").mapInArrow(run, _SEGMENTS)
+
+
+def _split(found: DataFrame, length: int, level: int) -> DataFrame:
+    """The segments of groups that are too large, cut by the k-mer of the next least hash: ``level`` of each window's are taken already."""
+    width = length - KMER + 1
+
+    def emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        base = 0
+        for key, uid, at, data in rows:
+            h = Rolling(np.frombuffer(data, np.uint8)).kmers(KMER)
+            rank = h >> np.uint64(28)
+            taken = np.unique(rank[:width])[:level]  # all windows of a segment have these
+            rank = np.where(np.isin(rank, taken), np.uint64((1 << 36) - 1), rank)
+            least = np.lib.stride_tricks.sliding_window_view(rank, width).argmin(axis=1) + np.arange(len(rank) - width + 1)
+            new = np.ones(len(least), bool)
+            new[1:] = least[1:] != least[:-1]
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(least)) - 1 + length
+            own = _mixed(h[least[lo]] ^ _mixed(np.array([key], np.int64).view(np.uint64)))
+            for part, x in zip(parts, (lo + base, hi + base, own.view(np.int64), np.full(len(lo), uid), lo + at), strict=True):
+                part.append(x)
+            base += len(data)
+        return _segment_batch(b"".join(x for *_, x in rows), *map(np.concatenate, parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "data", TEXT):
+            if batch.num_rows:
+                yield emit(list(zip(*(batch.column(n).to_pylist() for n in ("key", "uid", "lo", "data")), strict=True)))
+
+    return found.mapInArrow(run, _SEGMENTS)
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
@@ -279,12 +324,12 @@ def _resolved(rows: DataFrame) -> DataFrame:
     Rows come ordered by key and segment, and are looked at as they come; what is kept from one batch
     to the next is one row.
     """
-    arrow = arrow_schema(schema := struct(("key", "bigint"), ("seg", "bigint"), ("uid", "bigint"), ("lo", "bigint"), ("whole", "boolean"), ("compare", "boolean")))
-    names = ("key", "seg", "n", "uid", "lo")
+    arrow = arrow_schema(schema := T.StructType([f for f in _SEGMENTS if f.name != "n"] + list(struct(("whole", "boolean"), ("compare", "boolean")))))
+    names = _SEGMENTS.names
 
     def emit(c: dict, whole: np.ndarray, compare: np.ndarray) -> pa.RecordBatch:
         keep = np.flatnonzero(whole | compare)
-        return batch_of(arrow, whole=whole[keep], compare=compare[keep], **{n: c[n][keep] for n in ("key", "seg", "uid", "lo")})
+        return batch_of(arrow, whole=whole[keep], compare=compare[keep], **{n: c[n][keep] for n in names if n != "n"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, others = {n: np.zeros(0, np.int64) for n in names}, False  # the last segment's first row; whether its key has had another
@@ -297,7 +342,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
             if not len(c["key"]):
                 continue
             new_key = np.concatenate([[True], c["key"][1:] != c["key"][:-1]])
-            new = new_key | np.concatenate([[True], c["seg"][1:] != c["seg"][:-1]])
+            new = new_key | np.concatenate([[True], (c["seg"][1:] != c["seg"][:-1]) | (c["seg2"][1:] != c["seg2"][:-1])])
             at = np.flatnonzero(new)
             pair, key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
             total = np.add.reduceat(c["n"], at)[pair]
@@ -315,7 +360,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
         if len(held["key"]):
             yield emit(held, held["n"] >= 2, np.array([others]))
 
-    return rows.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "seg", "seg2").mapInArrow(run, schema)
 
 
 def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
@@ -332,97 +377,114 @@ def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, compared: DataFrame) -> DataFrame:
-    """The bytes of the segments of ``compared``."""
-    wanted = compared.groupBy("uid").agg(F.collect_list(F.struct("key", "seg", "lo", "whole", "hot")).alias("wanted"))
+    """``compared`` with the bytes of the segments as ``data``."""
+    names = ["key", "seg", "seg2", "size", "lo", "whole"]
+    wanted = compared.groupBy("uid").agg(F.collect_list(F.struct(*names)).alias("wanted"))
     joined = _packed(docs, []).join(wanted.hint("shuffle_hash"), "uid")
-    arrow = arrow_schema(schema := struct(("key", "bigint"), ("uid", "bigint"), ("lo", "bigint"), ("whole", "boolean"), ("hot", "boolean"), ("data", "binary")))
+    arrow = arrow_schema(schema := struct(*((n, field(compared, n)) for n in ("uid", *names)), ("data", "binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                text, uid = unpack(batch.column("packed")[i].as_py()), batch.column("uid")[i]
-                w = batch.column("wanted")[i].values
-                cols = {n: w.field(n) for n in ("key", "lo", "whole", "hot")}
-                lo = cols["lo"].to_pylist()
-                size = (w.field("seg").to_numpy() & 0xFFFF).tolist()
-                yield batch_of(arrow, data=[text[a : a + n] for a, n in zip(lo, size, strict=True)], uid=[uid.as_py()] * len(lo), **cols)
+                text, w = unpack(batch.column("packed")[i].as_py()), batch.column("wanted")[i].values
+                cols = {n: w.field(n) for n in names}
+                data = [text[a : a + n] for a, n in zip(cols["lo"].to_pylist(), cols["size"].to_pylist(), strict=True)]
+                yield batch_of(arrow, data=data, uid=[batch.column("uid")[i].as_py()] * len(data), **cols)
 
     return joined.mapInArrow(run, schema)
 
 
-def _compared(found: DataFrame, length: int) -> DataFrame:
-    """Spans of repeats among the segments of each anchor; several anchors make one small text."""
-    arrow = arrow_schema(schema := struct(("uid", "bigint"), ("lo", "bigint"), ("hi", "bigint")))
+def _compared(found: DataFrame, length: int, groups: bool = False) -> DataFrame:
+    """Spans of repeats among the segments of each anchor; several anchors make one small text.
+
+    With ``groups`` all occurrences of every repeat: ``repeat`` (a number for those of one task), its length, the segment and the place there.
+    """
+    spans = (("uid", "bigint"), ("lo", "bigint"), ("hi", "bigint"))
+    arrow = arrow_schema(schema := struct(*((("repeat", "string"), ("length", "int"), ("seg", "bigint"), ("seg2", "bigint"), ("at", "int")) if groups else spans)))
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         end = bytes([END])
         text = np.frombuffer(b"".join(x + end for *_, x in rows), np.uint8)
         ends = np.cumsum([len(x) + 1 for *_, x in rows]) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
-        spans = []
-        for common, _, new in repeats(text, ends, length):
+        out = []
+        for common, every, new in repeats(text, ends, length):
+            if groups:
+                name = xxhash.xxh3_128_hexdigest(text[every[0] : every[0] + common].tobytes())
+                for at in every.tolist():
+                    _, seg, seg2, _, _, _, _ = rows[k := int(np.searchsorted(ends, at))]
+                    out.append((name, common, seg, seg2, at - int(begins[k])))
+                continue
             for at in new:
                 k = int(np.searchsorted(ends, at))
-                _, uid, lo, whole, _ = rows[k]
+                _, _, _, uid, lo, whole, _ = rows[k]
                 if not whole:
-                    spans.append((uid, lo + at - int(begins[k]), lo + at - int(begins[k]) + common))
-        uid, lo, hi = zip(*spans, strict=True) if spans else ((), (), ())
-        return batch_of(arrow, uid=uid, lo=lo, hi=hi)
+                    out.append((uid, lo + at - int(begins[k]), lo + at - int(begins[k]) + common))
+        return batch_of(arrow, **dict(zip(arrow.names, zip(*out, strict=True) if out else [()] * len(arrow.names), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "uid", "lo", "whole", "data")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "seg", "seg2", "uid", "lo", "whole", "data")), strict=True):
                 if size >= TEXT and row[0] != rows[-1][0]:
                     yield emit(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[-1])
         if rows:
             yield emit(rows)
 
-    return found.drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return found.drop("size").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _counted(found: DataFrame, length: int) -> DataFrame:
-    """Spans of the windows that occur twice among segments that are too many to be gathered."""
-    arrow = arrow_schema(schema := struct(("h", "bigint"), ("uid", "bigint"), ("lo", "bigint"), ("whole", "boolean")))
+def _identified(df: DataFrame, folder: str, uid: str = "uid") -> DataFrame:
+    """The table kept with a number of its own for every row, whatever its id."""
+    return stored(df.withColumn(uid, F.monotonically_increasing_id()), "texts", folder)
+
+
+def _found(docs: DataFrame, folder: str, length: int, hot: int, groups: bool = False) -> tuple[list[DataFrame], list[DataFrame]]:
+    """What is found among the segments of each group, and all places of repeated segments, by level."""
+    results, wholes, level = [], [], 0
+    found = stored(_resolved(_segment_rows(docs, length)), "segments-0", folder)
+    while True:
+        wholes.append(found)
+        compare = found.where("compare").drop("compare")
+        large = compare.groupBy("key").count().where(F.col("count") > hot).select("key")
+        if level > length - KMER or not large.take(1):  # beyond, windows have no further k-mer
+            results.append(stored(_compared(_fetched(docs, compare), length, groups), f"found-{level}", folder))
+            return results, wholes
+        large = stored(large, f"large-{level}", folder)
+        results.append(stored(_compared(_fetched(docs, compare.join(large, "key", "left_anti")), length, groups), f"found-{level}", folder))
+        level += 1
+        found = stored(_resolved(_split(_fetched(docs, compare.join(large, "key", "left_semi")), length, level)), f"segments-{level}", folder)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uid, lo, whole, data in zip(*(batch.column(n).to_pylist() for n in ("uid", "lo", "whole", "data")), strict=True):
-                h = Rolling(np.frombuffer(data, np.uint8)).kmers(length).view(np.int64)
-                n = len(h)
-                yield batch_of(arrow, h=h, uid=np.full(n, uid), lo=lo + np.arange(n), whole=np.full(n, whole))
 
-    windows = found.mapInArrow(run, schema)
-    twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return windows.where("not whole").join(twice, "h", "left_semi").select("uid", "lo", (F.col("lo") + length).alias("hi"))
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
-def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return df.select(F.xxhash64(key, text).alias("uid"), key.alias("id"), text.alias("text"))
+def _spans(docs: DataFrame, folder: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """``uid`` and ``spans``, an array of (lo, hi) in bytes that may overlap, of every text with a repeat."""
+    results, wholes = _found(docs, folder, length, hot)
+    whole = _union([x.where("whole").select("uid", "lo", (F.col("lo") + F.col("size")).alias("hi")) for x in wholes])
+    return _union(results).union(whole).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """``uid`` (hash of id and text) and ``spans``, an array of (lo, hi) in bytes that may overlap, of every text with a repeat."""
-    docs = _identified(df, id_col, text_col)
+def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """All occurrences of every maximal repeat of ``length`` bytes or more within segments: ``repeat`` (a 128-bit hash of it), ``length``, the id, and ``lo`` in bytes.
+
+    A longer repeat is there as the repeats of the segments that it spans, which overlap.
+    """
     folder = shared_dir(df.sparkSession)
-    found = stored(_resolved(_segment_rows(docs, length)), "segments", folder)
-    compare = found.where("compare").select("key", "seg", "uid", "lo", "whole")
-    many = [r.key for r in compare.groupBy("key").count().where(F.col("count") > hot).limit(1).collect()]
-    if many:
-        keys = compare.groupBy("key").agg((F.count("*") > hot).alias("hot"))
-        fetched = stored(_fetched(docs, compare.join(keys, "key")), "fetched", folder)
-        spans = _compared(fetched.where("not hot"), length).union(_counted(fetched.where("hot"), length))
-    else:
-        spans = _compared(_fetched(docs, compare.withColumn("hot", F.lit(False))), length)
-    whole = found.where("whole").select("uid", "lo", (F.col("lo") + F.col("seg").bitwiseAND(F.lit(0xFFFF))).alias("hi"))
-    every = stored(spans, "spans", folder).union(whole)
-    return every.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    docs = _identified(pick(df, id=id_col, text=text_col), folder)
+    results, wholes = _found(docs, folder, length, hot, groups=True)
+    places = stored(_union([x.select("seg", "seg2", "size", "uid", "lo", "whole") for x in wholes]).distinct(), "places", folder)
+    name = F.concat(F.hex("seg"), F.lit(":"), F.hex("seg2"))
+    equal = places.where("whole").select(name.alias("repeat"), F.col("size").alias("length"), "uid", "lo")
+    inner = _union(results).join(places, ["seg", "seg2"]).select("repeat", "length", "uid", (F.col("lo") + F.col("at")).alias("lo"))
+    return equal.union(inner).distinct().join(docs.select("uid", F.col("id").alias(id_col)), "uid").select("repeat", "length", id_col, "lo")
 
 
 def merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -443,8 +505,10 @@ def _kept(text: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """What is removed from each text, and the SHA-256 of what is left of its bytes."""
-    spans = repeated_spans(df, id_col, text_col, **options)
-    joined = _packed(_identified(df, id_col, text_col), ["id"]).join(spans.hint("shuffle_hash"), "uid", "left").select("id", "packed", "spans")
+    folder = shared_dir(df.sparkSession)
+    docs = _identified(pick(df, id=id_col, text=text_col), folder)
+    spans = _spans(docs, folder, **options)
+    joined = _packed(docs, ["id"]).join(spans.hint("shuffle_hash"), "uid", "left").select("id", "packed", "spans")
     schema = struct((id_col, field(df, id_col)), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"))
     arrow = arrow_schema(schema)
 
@@ -464,10 +528,11 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` without the repeats in ``text_col``; characters that a repeat cuts in two go whole. A null text stays null."""
-    other, own = (next(n for n in map(f"{name}{{}}".format, range(len(df.columns) + 1)) if n not in df.columns) for name in ("uid", "spans"))
-    spans = repeated_spans(df, id_col, text_col, **options).withColumnsRenamed({"uid": other, "spans": own})
-    uid = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    joined = df.join(spans.hint("shuffle_hash"), uid == F.col(other), "left").drop(other)
+    uid, own = (next(n for n in map(f"{name}{{}}".format, range(len(df.columns) + 1)) if n not in df.columns) for name in ("uid", "spans"))
+    folder = shared_dir(df.sparkSession)
+    kept = _identified(df, folder, uid)
+    spans = _spans(pick(kept, uid=uid, text=text_col), folder, **options).withColumnsRenamed({"uid": uid, "spans": own})
+    joined = kept.join(spans.hint("shuffle_hash"), uid, "left").select(*(F.col(f"`{n}`") for n in df.columns), own)
     at, last = df.columns.index(text_col), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

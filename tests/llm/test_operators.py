@@ -551,3 +551,40 @@ def test_near_copies(spark):
     rows = [(7, "one text of its own"), (7, "another thing altogether"), (7, "one text of its own"), (8, "one text of its own"), (None, "one text of its own")]
     kept = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, rows[0][1]), (7, rows[1][1]), (7, rows[0][1])]
+
+
+def test_repeat_groups(spark):
+    """Every two equal windows are at one distance in some group, and all members of a group are equal."""
+    rng = np.random.default_rng(21)
+    base = bytes(rng.choice(list(b"abc"), 600).tolist())
+    texts = {}
+    for i in range(30):
+        a, b = sorted(rng.integers(0, 600, 2).tolist())
+        texts[i] = bytes(rng.choice(list(b"xyz"), rng.integers(0, 40)).tolist()) + base[a:b] + bytes(rng.choice(list(b"xyz"), rng.integers(0, 40)).tolist())
+    df = spark.createDataFrame([(i, x.decode()) for i, x in texts.items()], "doc_id bigint, text string").repartition(3)
+    for hot in (10_000, 3):
+        groups = defaultdict(list)
+        for r in substrings.repeat_groups(df, length=40, hot=hot).collect():
+            groups[r.repeat, r.length].append((r.doc_id, r.lo))
+        assert all(len(at) > 1 and len({texts[i][lo : lo + n] for i, lo in at}) == 1 for (_, n), at in groups.items())
+        meet = defaultdict(set)
+        for (_, n), at in groups.items():
+            for k in range(n - 39):
+                meet[texts[at[0][0]][at[0][1] + k : at[0][1] + k + 40]].update((i, lo + k) for i, lo in at)
+        places = defaultdict(set)
+        for i, x in texts.items():
+            for k in range(len(x) - 39):
+                places[x[k : k + 40]].add((i, k))
+        assert dict(meet) == {w: at for w, at in places.items() if len(at) > 1}
+
+
+def test_clashing_names_of_stages(spark):
+    """Columns that are called as those inside, and rows that share an id or are the same."""
+    names = ["doc_id", "text", "uid0", "spans", "node0", "kept", "n", "lang"]
+    text = "some words that are long enough to be a document of their own " * 6
+    rows = [(1, text, "a", "b", "c", "d", 1, "en"), (1, "another text altogether, and nobody's copy", "a", "b", "c", "d", 2, "en"), (2, text, "a", "b", "c", "d", 3, "en"), (None, None, "a", "b", "c", "d", 4, None)]
+    df = spark.createDataFrame(rows + rows[1:2], "doc_id bigint, text string, uid0 string, spans string, node0 string, kept string, n int, lang string")
+    for stage in (simhash.deduplicated, near_copies.deduplicated):
+        assert sorted((r.n for r in stage(df).collect())) == [1, 2, 4]
+    assert substrings.removed(df).columns == names and secrets.redact(df).columns == names and language.filtered(df, language.train(df)).columns == names
+    assert substrings.removed(df).count() == 5
