@@ -1,11 +1,11 @@
 """Secret scans: fixed forms, and strings that a character Markov model takes for random.
 
 Fixed forms (``BASE``) are found first.  The method then looks at every other run of token
-characters: two first-order Markov models, one of random strings and one of ordinary identifiers
-and words, give it a log-likelihood ratio, and it is a secret if that is high enough.  The models
-are trained from labelled samples: generated strings of both kinds, and the words of at most
+characters, and at what is left of one beside a fixed form: first-order Markov models of several kinds of random strings, and one of
+ordinary identifiers and words, give it a log-likelihood ratio, and it is a secret if the best is high enough.  The models
+are trained from labelled samples: generated strings of all kinds, and the words of at most
 ``TRAIN_ROWS`` documents (those of least hashed id), labelled by the fixed forms.  Only their counts
-of character pairs reach the driver.
+of character pairs reach the driver.  Strings of digits alone look like any number, and are not told apart by it.
 
 Spans are in code points, end exclusive.  Cases: null text is empty; an empty or clean text gives no
 span; repeated rows are kept; an empty table is scanned with the models of the generated strings
@@ -36,9 +36,10 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 TRAIN_ROWS = 2000
-#: Strings considered by the models: so many token characters or more, with a digit and a letter.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Nats by which the random model must be likelier, in all and for each character.
+#: Strings considered by the models: so many token characters or more, and so many different ones.
+LEAST, DIFFERENT = 16, 8
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Nats by which a random model must be likelier, in all and for each character: chosen on held-out strings.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.5
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -73,55 +74,82 @@ def pair_counts(strings: list[str]) -> np.ndarray:
 def generated(n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]]:
     """Labelled strings made by rule: random ones in four alphabets, and identifiers of common parts."""
     rng = random.Random(seed)
-    alphabets = (ALPHABET[:62], ALPHABET[:64], "0123456789abcdef", "0123456789ABCDEF")
-    noise = ["".join(rng.choices(alphabets[i % 4], k=rng.randint(20, 48))) for i in range(n)]
-    # Parts of ordinary identifiers.
-    parts = "user name file path get set list index count value data table column row key type size max min total order line item part customer region date time start end version test config server client request response message error status update create delete insert select"
-    words = parts.split()
-    plain = []
+    noise = [_random(rng, ("alphanumeric", "url", "hex", "HEX")[i % 4], rng.randint(20, 48)) for i in range(n)]
+    return noise, [_identifier(rng, i) for i in range(n)]
+
+
+#: Kinds of random strings, each with a model of its own.
+RANDOM = {
+    "alphanumeric": ALPHABET[:62], "url": ALPHABET[:64], "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "small": ALPHABET[:26] + "0123456789",
+    "capital": ALPHABET[26:62], "letters": ALPHABET[:52], "small letters": ALPHABET[:26], "capital letters": ALPHABET[26:52], "base64": ALPHABET[:64].replace("+", "").replace("/", "") + "+/",
+}
+# Parts of ordinary identifiers.
+PARTS = "user name file path get set list index count value data table column row key type size max min total order line item part customer region date time start end version test config server client request response message error status update create delete insert select"
+
+
+def _random(rng: random.Random, kind: str, n: int) -> str:
+    return "".join(rng.choices(RANDOM[kind], k=n))
+
+
+def _identifier(rng: random.Random, i: int) -> str:
+    some = rng.choices(PARTS.split(), k=rng.randint(2, 5))
+    number = str(rng.choice((rng.randint(0, 99), rng.randint(1990, 2035), rng.randint(10**5, 10**9)))) if i % 3 == 0 else ""
+    glue = ("_", "-", "")[i % 3]
+    return glue.join(x.title() if i % 3 == 2 and k else x for k, x in enumerate(some)) + (glue + number if number else "")
+
+
+def labelled(n: int = 1500, seed: int = 11) -> tuple[dict[str, list[str]], list[str]]:
+    """Random strings of every kind, and identifiers of more forms: constants, paths, dates and numbers."""
+    rng = random.Random(seed)
+    noise = {kind: [_random(rng, kind, rng.randint(LEAST, 48)) for _ in range(n)] for kind in RANDOM}
+    plain = [_identifier(rng, i) for i in range(2 * n)]
     for i in range(n):
-        some = rng.choices(words, k=rng.randint(2, 5))
-        number = str(rng.choice((rng.randint(0, 99), rng.randint(1990, 2035), rng.randint(10**5, 10**9)))) if i % 3 == 0 else ""
-        glue = ("_", "-", "")[i % 3]
-        plain.append(glue.join(x.title() if i % 3 == 2 and k else x for k, x in enumerate(some)) + (glue + number if number else ""))
+        some = rng.choices(PARTS.split(), k=rng.randint(2, 5))
+        stamp = f"{rng.randint(1990, 2035)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+        plain.append(("_".join(some).upper(), "/".join(some), "/" + "/".join(some) + "/" + stamp, f"{some[0]}_{stamp}T{rng.randint(0, 23):02}", str(rng.randint(10**8, 10**16)))[i % 5])
     return noise, plain
 
 
 @dataclass(frozen=True)
 class Markov:
-    """Log-likelihood ratio of each character pair: random against ordinary."""
+    """Log-likelihood ratios of each character pair: a kind of random strings against ordinary ones."""
 
     ratio: np.ndarray
 
     @staticmethod
     def of(noise: np.ndarray, plain: np.ndarray) -> Markov:
-        logs = []
-        for c in (noise, plain):
-            c = c[:, :-1] + 0.5
-            logs.append(np.log(c / c.sum(axis=1, keepdims=True)))
-        return Markov(np.concatenate([logs[0] - logs[1], np.zeros((SIZE, 1))], axis=1))
+        """From counts of one kind of random strings or several."""
+        def logs(counts: np.ndarray) -> np.ndarray:
+            c = counts[..., :-1] + 0.5
+            return np.log(c / c.sum(axis=-1, keepdims=True))
+
+        ratio = logs(noise.reshape(-1, SIZE, SIZE)) - logs(plain)
+        return Markov(np.concatenate([ratio, np.zeros((len(ratio), SIZE, 1))], axis=2))
 
     def score(self, s: str) -> float:
         c = CODE[np.frombuffer(("\0" + s).encode("ascii"), np.uint8)]
-        return float(self.ratio[c[:-1], c[1:]].sum())
+        return float(self.ratio[:, c[:-1], c[1:]].sum(axis=1).max())
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Random-looking strings that no fixed form touches."""
+        """Random-looking strings outside the fixed forms."""
         found = []
         for m in _candidate.finditer(text):
-            s = m.group()
-            if not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
-                continue
-            if any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if (x := self.score(s)) >= LEAST_TOTAL and x >= LEAST_MEAN * len(s):
-                found.append((m.start(), 3, m.end()))
+            lo, parts = m.start(), []
+            for a, _, b in base:  # ascending; they are few
+                if a < m.end() and b > lo:
+                    parts.append((lo, a))
+                    lo = b
+            for a, b in [*parts, (lo, m.end())]:
+                s = text[a:b]
+                if b - a >= LEAST and len(set(s)) >= DIFFERENT and (x := self.score(s)) >= LEAST_TOTAL and x >= LEAST_MEAN * len(s):
+                    found.append((a, 3, b))
         return found
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Markov:
     """The models from generated strings and the words of at most ``rows`` documents."""
-    noise, plain = map(pair_counts, generated())
+    strings, ordinary = labelled()
+    noise, plain = np.stack([*map(pair_counts, strings.values()), pair_counts([])]), pair_counts(ordinary)  # the last is for the fixed forms
     if rows:
         docs = pick(df, id=id_col, text=text_col)
         ids = [r.id for r in docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows).collect()]
@@ -146,8 +174,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int
 
         sample = docs.where(F.col("id").isin(ids)) if ids else docs.limit(0)
         for r in sample.mapInArrow(run, schema).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
-            (noise, plain)[r.label][divmod(r.pair, SIZE)] += r.n
-    return Markov.of(noise, plain)
+            (noise[-1], plain)[r.label][divmod(r.pair, SIZE)] += r.n
+    return Markov.of(noise if noise[-1].any() else noise[:-1], plain)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

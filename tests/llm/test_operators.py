@@ -588,3 +588,18 @@ def test_clashing_names_of_stages(spark):
         assert sorted((r.n for r in stage(df).collect())) == [1, 2, 4]
     assert substrings.removed(df).columns == names and secrets.redact(df).columns == names and language.filtered(df, language.train(df)).columns == names
     assert substrings.removed(df).count() == 5
+
+
+def test_markov_kinds():
+    """Held-out strings of every kind, short ones too, beside fixed forms and with dots; and other identifiers."""
+    strings, ordinary = secrets.labelled()
+    model = secrets.Markov.of(np.stack([*map(secrets.pair_counts, strings.values())]), secrets.pair_counts(ordinary))
+    strings, ordinary = secrets.labelled(seed=99)
+    for kind, some in strings.items():
+        assert np.mean([bool(model.spans(f"x {s} y", [])) for s in some]) > 0.97, kind
+    assert np.mean([bool(model.spans(f"x {s} y", [])) for s in ordinary]) < 0.005
+    assert model.spans("x " + "=" * 80 + " " + "a" * 50 + " " + "-_" * 20 + " 4952935900253052", []) == []
+    first, second = strings["alphanumeric"][0][:16], strings["url"][0][:16].replace("+", "A").replace("/", "B")
+    assert [(a, b) for a, _, b in model.spans(f"{first}.{second}", [])] == [(0, 16), (17, 33)]
+    text = "f00dfeedf00dfeedf00dfeed" + first  # a fixed form, and what is left of the run
+    assert [(a, b) for a, _, b in model.spans(text, secrets.base_spans(text))] == [(m := secrets.base_spans(text)[0][2], len(text))] and m >= 24
