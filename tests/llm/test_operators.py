@@ -547,7 +547,8 @@ def test_near_copies(spark):
                 a, b = up[i], up[j]
                 up = [min(a, b) if x in (a, b) else x for x in up]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    assert len(set(up)) < n - 30 and sorted(r.doc_id for r in near_copies.deduplicated(df).collect()) == sorted(set(up))
+    for exact in (False, True):
+        assert len(set(up)) < n - 30 and sorted(r.doc_id for r in near_copies.deduplicated(df, exact=exact).collect()) == sorted(set(up))
     rows = [(7, "one text of its own"), (7, "another thing altogether"), (7, "one text of its own"), (8, "one text of its own"), (None, "one text of its own")]
     kept = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, rows[0][1]), (7, rows[1][1]), (7, rows[0][1])]
