@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, batch_of, field, pick, slices, struct
+from .common import arrow_schema, batch_of, field, pick, slices, struct, trimmed
 from .words import WordCache
 
 
@@ -218,7 +218,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             texts = [x or "" for x in batch.column("text").to_pylist()]
             yield batch_of(arrow, **{id_col: batch.column("id"), "ids": [np.frombuffer(x, "<i4") for x in bpe.encode(texts)]})
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -231,7 +231,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
             data = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield batch_of(arrow, **{id_col: batch.column("id"), "data": data})
 
-    return pick(df, id=id_col, ids=ids_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, ids=ids_col).mapInArrow(trimmed(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,4 +248,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 decoded_sha256=[hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], **{id_col: batch.column("id")},
             )
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, field, batch_of, pick, slices, struct
+from .common import arrow_schema, batch_of, field, pick, slices, struct, trimmed
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary, and documents that it may come from.
@@ -116,7 +116,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id
             found = [model.predict(x) for x in batch.column("text").to_pylist()]
             yield batch_of(arrow, lang_pred=[x for x, _ in found], score=[s for _, s in found], **{id_col: batch.column("id")})
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -140,7 +140,7 @@ def filtered(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
             found = [model.predict(x) for x in texts]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, pick, raw, slices, struct
+from .common import arrow_schema, batch_of, field, pick, raw, slices, struct, trimmed
 
 BLOCK = 576
 RATE = 8000
@@ -111,7 +111,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             media = [write_wav(pad(x, block)) for x in texts]
             yield batch_of(arrow, **{id_col: batch.column("id"), "n_bytes": [len(x) for x in texts], "media": media})
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -138,7 +138,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 rows["fingerprint"].append(fingerprint(np.frombuffer(payload, np.uint8)))
             yield batch_of(arrow, **{id_col: batch.column("id"), "n_bytes": batch.column("n_bytes")}, **rows)
 
-    return pick(media, id=id_col, n_bytes="n_bytes", media="media").mapInArrow(run, schema)
+    return pick(media, id=id_col, n_bytes="n_bytes", media="media").mapInArrow(trimmed(run), schema)
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

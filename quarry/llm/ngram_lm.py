@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, opened, pick, raw, shared_dir, slices, stored, struct
+from .common import arrow_schema, batch_of, field, opened, pick, raw, shared_dir, slices, stored, struct, trimmed
 from .elias_fano import Trie
 
 #: Words of the longest n-grams, and MU of the levels from 2 on; levels beyond have the last.
@@ -183,7 +183,7 @@ def _parts(docs: DataFrame, shards: int, folder: str) -> DataFrame:
         if pieces:
             yield emit(task.partitionId() << 32 | k, pieces, task.taskAttemptId())
 
-    return docs.mapInArrow(run, _MESSAGE)
+    return docs.mapInArrow(trimmed(run), _MESSAGE)
 
 
 def _words(messages: DataFrame) -> DataFrame:

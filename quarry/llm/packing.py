@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, pick, raw, slices, stored, struct
+from .common import arrow_schema, batch_of, field, pick, raw, slices, stored, struct, trimmed
 from .words import encode_texts
 
 SIZE = 2048
@@ -104,7 +104,7 @@ def pieces(df: DataFrame, vocabulary: str, size: int = SIZE, end: int = 1, id_co
                     seen[n] += 1
             yield batch_of(arrow, **cols)
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
@@ -132,7 +132,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             nth, slot = np.divmod(rank - t["rank"][lo], t["times"][lo])
             yield batch_of(arrow, sequence_id=t["sequence"][lo] + nth, offset=t["offset"][lo] + slot * length, **{n: batch.column(n) for n in arrow.names[:-2]})
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(df: DataFrame, vocabulary: str, size: int = SIZE, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

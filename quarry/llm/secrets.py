@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, pick, slices, struct
+from .common import arrow_schema, batch_of, field, pick, slices, struct, trimmed
 
 # The forms, their least lengths and the group whose length counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -173,7 +173,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int
             yield batch_of(arrow, label=at // (SIZE * SIZE), pair=at % (SIZE * SIZE), n=sums.ravel()[at])
 
         sample = docs.where(F.col("id").isin(ids)) if ids else docs.limit(0)
-        for r in sample.mapInArrow(run, schema).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
+        for r in sample.mapInArrow(trimmed(run), schema).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
             (noise[-1], plain)[r.label][divmod(r.pair, SIZE)] += r.n
     return Markov.of(noise if noise[-1].any() else noise[:-1], plain)
 
@@ -197,7 +197,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
             yield batch_of(arrow, **{id_col: batch.column("id"), "spans": out})
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -228,4 +228,4 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 out.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, type=batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

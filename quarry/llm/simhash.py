@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, pick, raw, slices, stored, struct
+from .common import arrow_schema, batch_of, field, pick, raw, slices, stored, struct, trimmed
 from .components import components
 
 SHINGLE = 3
@@ -144,7 +144,7 @@ def at_anchors(fps: DataFrame, distance: int, blocks: int = BLOCKS) -> DataFrame
                 for index, anchor in anchors(fp.to_numpy(zero_copy_only=False).view(np.uint64), distance, blocks):
                     yield batch_of(arrow, anchor=anchor, fp=fp.take(pa.array(index)), rep=rep.take(pa.array(index)))
 
-    return fps.select("fp", "rep").mapInArrow(run, schema)
+    return fps.select("fp", "rep").mapInArrow(trimmed(run), schema)
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -168,7 +168,7 @@ def near_duplicates(
             fps = fingerprints(raw(batch.column("text")).to_pylist(), shingle)
             yield batch_of(arrow, id=batch.column("id"), fp=fps.view(np.int64))
 
-    docs = stored(pick(df, id=id_col, text=text_col).mapInArrow(run, schema), "fingerprints")
+    docs = stored(pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema), "fingerprints")
     fps = stored(docs.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     roots = components(links(fps.where("rep is not null"), distance, blocks))
     classes = fps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))

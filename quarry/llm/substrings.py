@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch_of, field, pick, raw, shared_dir, slices, stored, struct
+from .common import arrow_schema, batch_of, field, pick, raw, shared_dir, slices, stored, struct, trimmed
 
 LENGTH = 200
 KMER = 16
@@ -284,7 +284,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
         if pieces:
             yield emit(pieces)
 
-    return docs.select("uid", "text").mapInArrow(run, _SEGMENTS)
+    return docs.select("uid", "text").mapInArrow(trimmed(run), _SEGMENTS)
 
 
 def _split(found: DataFrame, length: int, level: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _split(found: DataFrame, length: int, level: int) -> DataFrame:
             if batch.num_rows:
                 yield emit(list(zip(*(batch.column(n).to_pylist() for n in ("key", "uid", "lo", "data")), strict=True)))
 
-    return found.mapInArrow(run, _SEGMENTS)
+    return found.mapInArrow(trimmed(run), _SEGMENTS)
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
         if len(held["key"]):
             yield emit(held, held["n"] >= 2, np.array([others]))
 
-    return rows.repartition("key").sortWithinPartitions("key", "seg", "seg2").mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "seg", "seg2").mapInArrow(trimmed(run), schema)
 
 
 def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
@@ -373,7 +373,7 @@ def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
         for batch in slices(batches, "text"):
             yield batch_of(arrow, packed=[pack(x) for x in raw(batch.column("text")).to_pylist()], **{n: batch.column(n) for n, _ in fields})
 
-    return docs.select("uid", "text", *others).mapInArrow(run, schema)
+    return docs.select("uid", "text", *others).mapInArrow(trimmed(run), schema)
 
 
 def _fetched(docs: DataFrame, compared: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def _fetched(docs: DataFrame, compared: DataFrame) -> DataFrame:
                 data = [text[a : a + n] for a, n in zip(cols["lo"].to_pylist(), cols["size"].to_pylist(), strict=True)]
                 yield batch_of(arrow, data=data, uid=[batch.column("uid")[i].as_py()] * len(data), **cols)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def _compared(found: DataFrame, length: int, groups: bool = False) -> DataFrame:
@@ -436,7 +436,7 @@ def _compared(found: DataFrame, length: int, groups: bool = False) -> DataFrame:
         if rows:
             yield emit(rows)
 
-    return found.drop("size").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return found.drop("size").repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(run), schema)
 
 
 def _identified(df: DataFrame, folder: str, uid: str = "uid") -> DataFrame:
@@ -523,7 +523,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
                     rows[n].append(x)
             yield batch_of(arrow, **{id_col: batch.column("id")}, **rows)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -544,4 +544,4 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
             columns[at] = pa.array(texts, type=batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(last)]))
 
-    return joined.mapInArrow(run, df.schema)
+    return joined.mapInArrow(trimmed(run), df.schema)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, opened, pick, raw, shared_dir, slices, stored, struct
+from .common import arrow_schema, batch_of, field, opened, pick, raw, shared_dir, slices, stored, struct, trimmed
 from .words import encode_texts
 
 # Fixed values of the zstandard seekable format.
@@ -142,7 +142,7 @@ class TokenTable:
 
         files = (self.index.agg(F.max("shard")).first()[0] or 0) + 1  # a task for each, however small the index
         dealt = index.select(*arrow.names[:-1]).repartition(files, "shard").sortWithinPartitions("shard", "first")
-        return dealt.mapInArrow(run, schema)
+        return dealt.mapInArrow(trimmed(run), schema)
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -180,7 +180,7 @@ def write_tokens(df: DataFrame, vocabulary: str, end: int = 1, id_col: str = "do
 
     docs = pick(df, id=id_col, text=text_col).withColumn("tie", F.xxhash64("text"))
     dealt = docs.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    return TokenTable(files, stored(dealt.mapInArrow(run, schema), "index", base), id_col)
+    return TokenTable(files, stored(dealt.mapInArrow(trimmed(run), schema), "index", base), id_col)
 
 
 def token_digest(df: DataFrame, vocabulary: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,6 +194,6 @@ def token_digest(df: DataFrame, vocabulary: str, end: int = 1, id_col: str = "do
             ids = batch.column("ids").to_pylist()
             yield batch_of(arrow, n_tokens=[len(x) // 4 for x in ids], ids_crc32=[zlib.crc32(x) for x in ids], **{n: batch.column(n) for n in arrow.names[:3]})
 
-    read = table.read().mapInArrow(run, schema)
+    read = table.read().mapInArrow(trimmed(run), schema)
     start = (F.col("before") + F.col("first")).alias("start")
     return read.join(table.starts(), "shard").select(id_col, start, "n_tokens", "ids_crc32")
