@@ -1,13 +1,14 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over the whole corpus's distinct pieces.
 
-Texts are cut into pieces by the vocabulary's pattern.  Each distinct piece of a slice of the corpus
-is encoded once: ``replay`` lays all new pieces side by side, indexes every adjacent pair of tokens by
-its positions, and applies the merges in rank order, each to all its positions at once, updating only
-the neighbours that a merge touches.  Results are kept by piece in a bounded table of the worker, so
-frequent pieces are replayed once for all texts.
+Texts are cut into pieces by the vocabulary's pattern.  A part of a few MB of text numbers its own distinct pieces
+and waits, as their numbers, in the shared folder; the pieces are dealt to shards by their value and sorted there,
+so that a piece is encoded once, however many parts and texts have it.  ``replay`` lays a shard's pieces
+side by side, indexes every adjacent pair of tokens by its positions, and applies the merges in rank order, each to all
+its positions at once, updating only the neighbours that a merge touches.  The ids go back to the parts that
+asked, which put their texts together.  A frequent piece is a row for each part, never one for each time it occurs.
 
-Cases: null text is empty and has no token; very long texts are encoded whole; repeated rows are kept;
-an empty table gives an empty table; other columns are not read.  Nothing is shuffled.
+Cases: null text is empty and has no token; very long texts are encoded whole, each as a part of its own at most; repeated
+rows and ids are kept; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, batch_of, field, pick, slices, struct, trimmed
-from .words import WordCache
+from .common import arrow_schema, batch_of, bundle, field, opened, pick, shared_dir, slices, small, stored, struct, trimmed, unbundle
+
+#: Bytes of text after which a part ends with its slice of the input, and bytes of distinct pieces that are replayed together.
+PART, TOGETHER = 8 << 20, 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,76 +162,229 @@ def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
 
 
 class ByteBpe:
-    """A rank file and its pattern; encodes and decodes."""
+    """A rank file; its merges, and its tokens."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self.ranks)
+
+    @cached_property
+    def tokens(self) -> list[bytes]:
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.merges = Merges(self.ranks)
-        self.find = regex.compile(pattern).findall
-        self.pieces = WordCache(self._encode_pieces)
-        self.chunks = WordCache(self._encode_chunks)
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return replay([p.encode() for p in pieces], self.merges)
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of stretches between single spaces, with the space before them; None where the pattern looks further.
-
-        A stretch that starts with a line end has no space before it.  White space elsewhere at the
-        ends of a stretch could match together with the space beside it.
-        """
-        found: list[list[str] | None] = []
-        for c in chunks:
-            line = c[:1] == "\n"
-            rest = c[1:] if line else c
-            found.append(None if not rest or rest[0].isspace() or rest[-1].isspace() else self.find(c if line else " " + c))
-        ids = iter(self.pieces.joined([x for x in found if x is not None]))
-        return [None if x is None else next(ids) for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        # The line end put before a text makes one token, if white space does not follow it.
-        out = self.chunks.joined([("\n" + x).replace("\n", " \n")[1:].split(" ") for x in texts])
-        odd = [i for i, x in enumerate(out) if x is None]
-        whole = iter(self.pieces.joined([self.find(texts[i]) for i in odd]))
-        return [next(whole) if x is None else x[4:] for x in out]
+            tokens[rank] = token
+        return tokens
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
+_coders: dict[str, ByteBpe] = {}
 
 
-def coder(path: str, pattern: str) -> ByteBpe:
+def coder(path: str) -> ByteBpe:
     """The worker's coder for a file."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBpe(path, pattern)
-    return _coders[path, pattern]
+    if path not in _coders:
+        _coders[path] = ByteBpe(path)
+    return _coders[path]
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids``, an array of integers."""
-    arrow = arrow_schema(schema := struct((id_col, field(df, id_col)), ("ids", "array<int>")))
+# -- the corpus ----------------------------------------------------------------------------------------
+
+
+class Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, x) -> int:
+        self[x] = n = len(self)
+        self.new.append(x)
+        return n
+
+
+class Part:
+    """Texts as the numbers of their stretches, and each distinct stretch as the numbers of its pieces.
+
+    A stretch stands between single spaces, with the space before it, or is a piece as a tuple of one.  The line end put
+    before a text has no space before it, and makes one piece, if white space does not follow; its texts
+    have ``skip`` 1 for it.  Where a stretch has white space at an end, the pattern could match that together with
+    what is beside it: such a text is cut as a whole.
+    """
+
+    def __init__(self, find: Callable[[str], list[str]]):
+        self.find = find
+        self.pieces, self.stretches = Numbers(), Numbers()
+        self.flat: list[int] = []
+        self.counts: list[int] = []
+        self.unfit: set[int] = set()
+        self.texts: list[np.ndarray] = []
+        self.skip: list[int] = []
+
+    def _cut(self) -> None:
+        new, self.stretches.new = self.stretches.new, []
+        for x in new:
+            if isinstance(x, tuple):
+                found = x
+            else:
+                line = x[:1] == "\n"
+                rest = x[1:] if line else x
+                if not rest or rest[0].isspace() or rest[-1].isspace():
+                    self.unfit.add(len(self.counts))
+                    found = ()
+                else:
+                    found = self.find(x if line else " " + x)
+            self.flat += map(self.pieces.__getitem__, found)
+            self.counts.append(len(found))
+
+    def add(self, texts: list[str]) -> None:
+        number = self.stretches.__getitem__
+        rows = [list(map(number, ("\n" + x).replace("\n", " \n")[1:].split(" "))) for x in texts]
+        self._cut()
+        for text, row in zip(texts, rows, strict=True):
+            whole = not self.unfit.isdisjoint(row)
+            if whole:
+                row = [number((p,)) for p in self.find(text)]
+            self.skip.append(0 if whole else 1)
+            self.texts.append(np.array(row, np.uint32))
+        self._cut()
+
+    def packed(self, ids: pa.Array) -> bytes:
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays([ids], ["id"])
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        sizes = small(np.fromiter(map(len, self.texts), np.int64, len(self.texts)))
+        rows = small(np.concatenate(self.texts))
+        flat, counts = (small(np.array(x, np.int64)) for x in (self.flat, self.counts))
+        return bundle(rows, sizes, np.array(self.skip, np.uint8), flat, counts, np.frombuffer(sink.getvalue(), np.uint8))
+
+
+_PIECE = struct(("part", "bigint"), ("number", "bigint"), ("data", "binary"))
+
+
+def _parts(docs: DataFrame, pattern: str, folder: str) -> DataFrame:
+    """A row with the file of each part (number -1), and one for each distinct piece of it."""
+    arrow = arrow_schema(_PIECE)
+
+    def emit(name: int, attempt: int, part: Part, ids: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        path = f"{folder}/part-{name}-{attempt}"
+        fs, file = opened(path)
+        fs.create_dir(file.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(file) as out:
+            out.write(part.packed(pa.concat_arrays(ids)))
+        yield batch_of(arrow, part=[name], number=[-1], data=[path.encode()])
+        pieces = [p.encode() for p in part.pieces]
+        for a in range(0, len(pieces), 100_000):
+            some = pieces[a : a + 100_000]
+            yield batch_of(arrow, part=[name] * len(some), number=range(a, a + len(some)), data=some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
+        task, find, k = TaskContext.get(), regex.compile(pattern).findall, 0
+        part, ids, size = Part(find), [], 0
         for batch in slices(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            yield batch_of(arrow, **{id_col: batch.column("id"), "ids": [np.frombuffer(x, "<i4") for x in bpe.encode(texts)]})
+            part.add(texts)
+            ids.append(batch.column("id"))
+            size += sum(map(len, texts))
+            if size >= PART:
+                yield from emit(task.partitionId() << 32 | k, task.taskAttemptId(), part, ids)
+                part, ids, size, k = Part(find), [], 0, k + 1
+        if ids:
+            yield from emit(task.partitionId() << 32 | k, task.taskAttemptId(), part, ids)
+
+    return docs.mapInArrow(trimmed(run), _PIECE)
+
+
+def _replayed(pieces: DataFrame, path: str) -> DataFrame:
+    """The same rows with each piece's ids in its place: sorted, equal pieces stand together and are replayed once."""
+    arrow = arrow_schema(_PIECE)
+
+    def answer(batches: list[pa.RecordBatch], merges: Merges) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        found = table.column("data").combine_chunks().dictionary_encode()
+        ids = pa.array(replay(found.dictionary.to_pylist(), merges), pa.binary())
+        start = 0
+        for batch in batches:
+            index = found.indices.slice(start, batch.num_rows)
+            start += batch.num_rows
+            yield batch_of(arrow, part=batch.column("part"), number=batch.column("number"), data=ids.take(index))
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, waiting, size = coder(path).merges, [], 0
+        for all_rows in batches:
+            for batch in slices([all_rows], "data", TOGETHER):
+                waiting.append(batch)
+                size += sum(map(len, batch.column("data").unique().to_pylist()))
+                if size >= TOGETHER:
+                    yield from answer(waiting, merges)
+                    waiting, size = [], 0
+        if waiting:
+            yield from answer(waiting, merges)
+
+    return pieces.repartition("data").sortWithinPartitions("data").mapInArrow(trimmed(run), _PIECE)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _put_together(table: pa.Table) -> tuple[pa.Array, list[bytes]]:
+    """The ids of a part's documents, and each one's token ids as little-endian unsigned 32-bit integers."""
+    order = np.argsort(table.column("number").to_numpy(), kind="stable")
+    data = table.column("data").combine_chunks().take(pa.array(order))
+    fs, name = opened(data[0].as_py().decode())
+    with fs.open_input_file(name) as file:
+        rows, sizes, skip, flat, counts, stream = unbundle(file.read())
+    with pa.ipc.open_stream(pa.py_buffer(stream)) as read:
+        ids = read.read_all().column("id").combine_chunks()
+    coded = data[1:].to_pylist()
+    length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    token = np.frombuffer(b"".join(coded), "<u4")
+    counts = counts.astype(np.int64)
+    place = (np.cumsum(counts) - counts)[rows]
+    pieces = flat[spread(place, counts[rows])]
+    at = np.concatenate([[0], np.cumsum(counts[rows])])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+    n = length[pieces]
+    until = np.concatenate([[0], np.cumsum(n)])
+    token = token[spread((np.cumsum(length) - length)[pieces], n)].tobytes()
+    starts, ends = (4 * until[at[:-1] + skip]).tolist(), (4 * until[at[1:]]).tolist()
+    return ids, [token[a:b] for a, b in zip(starts, ends, strict=True)]
+
+
+def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema, columns: Callable[[list[bytes]], dict]) -> DataFrame:
+    """``id_col`` and what ``columns`` makes of the token ids of each part's texts."""
+    arrow = arrow_schema(schema)
+    folder = shared_dir(df.sparkSession)
+    parts = stored(_parts(pick(df, id=id_col, text=text_col), pattern, f"{folder}/files"), "pieces", folder)
+    answers = _replayed(parts.where("number >= 0"), path)
 
+    def run(table: pa.Table) -> pa.Table:
+        ids, coded = _put_together(table)
+        return pa.Table.from_batches([batch_of(arrow, **{id_col: ids}, **columns(coded))])
 
-def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    return answers.union(parts.where("number < 0")).groupBy("part").applyInArrow(run, schema)
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``ids``, an array of integers."""
+    schema = struct((id_col, field(df, id_col)), ("ids", "array<int>"))
+    return _encoded(df, path, pattern, id_col, text_col, schema, lambda coded: {"ids": [np.frombuffer(x, "<i4") for x in coded]})
+
+
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``data``, the bytes that the ids stand for; null ids stand for none."""
     arrow = arrow_schema(schema := struct((id_col, field(df, id_col)), ("data", "binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
+        bpe = coder(path)
         for batch in batches:
             data = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield batch_of(arrow, **{id_col: batch.column("id"), "data": data})
@@ -235,17 +393,14 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every text and decodes its ids in the same pass; digests of both."""
+    """Encodes every text, then decodes its ids; digests of both."""
     schema = struct((id_col, field(df, id_col)), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
-    arrow = arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
-        for batch in slices(batches, "text"):
-            ids = bpe.encode([x or "" for x in batch.column("text").to_pylist()])
-            yield batch_of(
-                arrow, n_tokens=[len(x) // 4 for x in ids], ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
-                decoded_sha256=[hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], **{id_col: batch.column("id")},
-            )
+    def columns(coded: list[bytes]) -> dict:
+        bpe = coder(path)
+        return {
+            "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in coded],
+            "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded],
+        }
 
-    return pick(df, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
+    return _encoded(df, path, pattern, id_col, text_col, schema, columns)

@@ -24,18 +24,16 @@ of its own; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import mmap
-import struct as binary
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, field, opened, pick, raw, shared_dir, slices, stored, struct, trimmed
+from .common import arrow_schema, batch_of, bundle, field, opened, pick, raw, shared_dir, slices, small, stored, struct, trimmed, unbundle
 from .elias_fano import Trie
 
 #: Words of the longest n-grams, and MU of the levels from 2 on; levels beyond have the last.
@@ -71,29 +69,6 @@ def tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return found, np.diff(np.searchsorted(starts, last, "right"), prepend=0)
 
 
-def bundle(*arrays: np.ndarray) -> bytes:
-    """Arrays as one zstandard frame, the bytes of each significance together."""
-    head = bytes([len(arrays)]) + b"".join(binary.pack("<ccQ", x.dtype.kind.encode(), bytes([x.itemsize]), len(x)) for x in arrays)
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"" for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
-
-
-def unbundle(data: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
-    at, out = 1 + 10 * data[0], []
-    for k in range(data[0]):
-        kind, size, n = binary.unpack_from("<ccQ", data, 1 + 10 * k)
-        x = np.frombuffer(data, np.uint8, n * size[0], at).reshape(size[0], n).T
-        out.append(np.ascontiguousarray(x).view(f"{kind.decode()}{size[0]}").ravel() if n else np.zeros(0, f"{kind.decode()}{size[0]}"))
-        at += n * size[0]
-    return out
-
-
-def small(x: np.ndarray) -> np.ndarray:
-    """As unsigned integers of 32 bits, or 64 if need be."""
-    return x.astype(np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64)
-
-
 def bits(x: np.ndarray) -> int:
     return int(x.max()).bit_length() if len(x) else 0
 
