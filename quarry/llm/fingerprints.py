@@ -5,8 +5,9 @@ fingerprint is the sum of its paragraphs' vectors, every lane modulo 2**32.  So
 paragraphs does not matter, how often each occurs does, and a paragraph is inserted or deleted by adding
 or subtracting its vector (``combined``), without the rest of the document.
 
-The first ``WIDE`` lanes are 32-bit hashes: equal sums mean equal multisets, but for chance.  The
-others, two to an integer, count for each of ``SIGNS`` bits of a hash how many paragraphs have it set.
+The first ``WIDE`` lanes are the halves of ``WIDE / 2`` hashes of the paragraph's bytes, each by a seed of its own: equal sums
+mean equal multisets, but for chance over all the lanes' bits.  The
+others, two to an integer, count for each of ``SIGNS`` bits of two of those hashes how many paragraphs have it set.
 Taken as sums of +1 and -1 they are a sketch of the multiset, whose scalar products estimate how
 much two documents share: that is ``likeness``, 2ab / (aa + bb), between 0 and 1.
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import field, partitions, pick
 
-WIDE, SIGNS = 16, 64
+WIDE, SIGNS = 16, 128
 #: Ends of paragraphs: line ends, and the space after a sentence.
 ENDS = r"\n|(?<=[.!?]) "
 MASK = (1 << 32) - 1
@@ -35,16 +36,25 @@ _PAIR = (1 << 32) | 1
 def vector(text: Column) -> Column:
     """A text's fingerprint as an array of integers: WIDE lanes, then SIGNS / 2 pairs of counts, and the number of paragraphs."""
     def lanes(hashes: Column) -> Column:
-        def total(lane) -> Column:
-            return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc + lane(h))
+        def total(seed: int, lane) -> Column:
+            return F.aggregate(F.element_at(hashes, seed + 1), F.lit(0).cast("bigint"), lambda acc, h: acc + lane(h))
 
-        wide = [total(lambda h, i=i: F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)) for i in range(WIDE)]
-        signs = [total(lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))) for i in range(SIGNS // 2)]
-        return F.array(*wide, *signs, F.size(hashes).cast("bigint"))
+        low = [total(k, lambda h: h.bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)) for k in range(WIDE // 2)]
+        high = [total(k, lambda h: F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(MASK)) for k in range(WIDE // 2)]
+        signs = [total(k, lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))) for k in range(SIGNS // 64) for i in range(32)]
+        return F.array(*low, *high, *signs, F.size(F.element_at(hashes, 1)).cast("bigint"))
 
-    # As the variable of a lambda, the hashes are computed once for all lanes.
-    hashes = F.transform(F.split(text, ENDS), lambda p: F.xxhash64(p))
-    return F.element_at(F.transform(F.array(hashes), lanes), 1)
+    # As the variables of lambdas, paragraphs and hashes are computed once for all lanes.
+    def hashed(paragraphs: Column) -> Column:
+        def of(seed: int) -> Column:
+            return F.transform(paragraphs, lambda p: F.xxhash64(F.lit(seed), p))
+
+        return F.array(*map(of, range(WIDE // 2)))
+
+    def once(x: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(x), use), 1)
+
+    return once(F.split(text, ENDS), lambda paragraphs: once(hashed(paragraphs), lanes))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:

@@ -288,6 +288,37 @@ def test_fingerprints_add_up(spark):
     assert all(list(x) == [True, True, True, 1.0] for x in row)
 
 
+def test_fingerprints_by_hand(spark):
+    """Every lane, and the likeness, against sums in Python; all lanes' hashes have seeds of their own."""
+    texts = [t or "" for t in TEXTS]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    seeds = spark.range(1).select(*(F.xxhash64(F.lit(k)).alias(f"s{k}") for k in range(8))).first()
+
+    def vector(text):
+        paragraphs = re.split(fingerprints.ENDS, text)
+        hashes = [[xxhash.xxh64_intdigest(p.encode(), s % 2**64) for p in paragraphs] for s in seeds]
+        wide = [sum(h % 2**32 for h in hs) % 2**32 for hs in hashes] + [sum(h >> 32 for h in hs) % 2**32 for hs in hashes]
+        bits = [[sum(h >> i & 1 for h in hs) for i in range(64)] for hs in hashes[:2]]
+        return wide, bits, len(paragraphs)
+
+    def digits(text):
+        wide, bits, n = vector(text)
+        return "".join(f"{x:08x}" for x in wide) + "".join(f"{b[i + 32]:08x}{b[i]:08x}" for b in bits for i in range(32)) + f"{n:016x}"
+
+    def likeness(x, y):
+        if x == y:
+            return 1.0
+        a, b = ([2 * c - n for bits in bb for c in bits] for _, bb, n in (vector(x), vector(y)))
+        dot = lambda u, v: sum(p * q for p, q in zip(u, v, strict=True))
+        return max(0.0, min(1.0, 2 * dot(a, b) / (dot(a, a) + dot(b, b))))
+
+    for r in fingerprints.edited_digest(df).collect():
+        x, y = texts[r.doc_id], texts[r.doc_id - 1]
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        assert r.fingerprint == digits(x) and r.edited_fingerprint == digits(edited)
+        assert r.near_edited == pytest.approx(likeness(x, edited)) and r.near_next == pytest.approx(likeness(x, y))
+
+
 @pytest.mark.parametrize("ids", [[3, 3, 1, None, None], [None], list(range(100)), [7] * 30 + [9], [-5, 2**40, 0]])
 def test_next(spark, ids):
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "id bigint, text string").repartition(3).withColumn("tie", F.xxhash64("text"))
