@@ -108,7 +108,7 @@ def _bucket(key: Column, bounds: list) -> Column:
 def with_next(rows: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
     """``rows`` with ``next_`` columns: those of the row that follows by descending key, and of the first row after the last.
 
-    Rows are dealt to buckets by quantiles of the key, as many as the session has shuffle partitions.
+    Rows are dealt to buckets by quantiles of the key, as many as the session has shuffle partitions; each is a partition of its own.
     Each bucket also gets the first row of the bucket below, so that every row finds its follower in
     its own bucket: the rows are shuffled once, and no task sees more than a bucket.
     """
@@ -128,8 +128,9 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str]) -> DataFr
     at = lambda b, g: F.struct(b.alias("bucket"), F.lit(g).alias("guest"))
     own = at(F.col("_b"), False)
     dealt = rows.withColumn("_b", bucket).withColumn("_at", F.explode(F.when(F.col(key).eqNullSafe(first), F.array(own, at(guest, True))).otherwise(F.array(own))))
-    order = Window.partitionBy(F.col("_at.bucket")).orderBy(F.col("_at.guest"), F.col(key).desc_nulls_last(), F.col(tie))
-    followed = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    placed = dealt.withColumn("_b", F.col("_at.bucket")).repartitionById(len(bounds) + 1, "_b")
+    order = Window.partitionBy("_b").orderBy(F.col("_at.guest"), F.col(key).desc_nulls_last(), F.col(tie))
+    followed = placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return followed.where("not _at.guest").drop("_b", "_at")
 
 
