@@ -1,11 +1,12 @@
 """Byte-level BPE by merge replay over the whole corpus's distinct pieces.
 
 Texts are cut into pieces by the vocabulary's pattern.  A part of a few MB of text numbers its own distinct pieces
-and waits, as their numbers, in the shared folder; the pieces are dealt to shards by their value and sorted there,
-so that a piece is encoded once, however many parts and texts have it.  ``replay`` lays a shard's pieces
+and waits, as their numbers, in the shared folder; it sends its pieces, compressed, to shards by hash, where
+a piece is encoded once, however many parts and texts have it.  ``replay`` lays a shard's pieces
 side by side, indexes every adjacent pair of tokens by its positions, and applies the merges in rank order, each to all
 its positions at once, updating only the neighbours that a merge touches.  The ids go back to the parts that
-asked, which put their texts together.  A frequent piece is a row for each part, never one for each time it occurs.
+asked, which put their texts together.  A frequent piece is sent once by each part, never for each time it occurs; there are as many
+shards as the bytes of the texts ask for, and a shard is read as a stream, of which ``TOGETHER`` bytes are in memory.
 
 Cases: null text is empty and has no token; very long texts are encoded whole, each as a part of its own at most; repeated
 rows and ids are kept; an empty table gives an empty table; other columns are not read.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -25,11 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, bundle, field, opened, pick, shared_dir, slices, small, stored, struct, trimmed, unbundle
 
-#: Bytes of text after which a part ends with its slice of the input, and bytes of distinct pieces that are replayed together.
-PART, TOGETHER = 8 << 20, 2 << 20
+#: Bytes of text after which a part ends with its slice of the input, bytes of text for each shard, and bytes of pieces that are replayed together.
+PART, SHARD, TOGETHER = 8 << 20, 8 << 20, 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -254,7 +257,7 @@ class Part:
             self.texts.append(np.array(row, np.uint32))
         self._cut()
 
-    def packed(self, ids: pa.Array) -> bytes:
+    def packed(self, ids: pa.Array, shard: np.ndarray) -> bytes:
         sink = pa.BufferOutputStream()
         batch = pa.RecordBatch.from_arrays([ids], ["id"])
         with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -262,27 +265,31 @@ class Part:
         sizes = small(np.fromiter(map(len, self.texts), np.int64, len(self.texts)))
         rows = small(np.concatenate(self.texts))
         flat, counts = (small(np.array(x, np.int64)) for x in (self.flat, self.counts))
-        return bundle(rows, sizes, np.array(self.skip, np.uint8), flat, counts, np.frombuffer(sink.getvalue(), np.uint8))
+        return bundle(rows, sizes, np.array(self.skip, np.uint8), flat, counts, small(shard), np.frombuffer(sink.getvalue(), np.uint8))
 
 
-_PIECE = struct(("part", "bigint"), ("number", "bigint"), ("data", "binary"))
+_MESSAGE = struct(("part", "bigint"), ("shard", "bigint"), ("data", "binary"))
 
 
-def _parts(docs: DataFrame, pattern: str, folder: str) -> DataFrame:
-    """A row with the file of each part (number -1), and one for each distinct piece of it."""
-    arrow = arrow_schema(_PIECE)
+def _parts(docs: DataFrame, pattern: str, shards: int, folder: str) -> DataFrame:
+    """A row with the file of each part (shard -1), and one for each of its messages: the distinct pieces of a shard."""
+    arrow = arrow_schema(_MESSAGE)
 
-    def emit(name: int, attempt: int, part: Part, ids: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    def emit(name: int, attempt: int, part: Part, ids: list[pa.Array]) -> pa.RecordBatch:
+        pieces = [p.encode() for p in part.pieces]
+        shard = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces)) % shards
         path = f"{folder}/part-{name}-{attempt}"
         fs, file = opened(path)
         fs.create_dir(file.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(file) as out:
-            out.write(part.packed(pa.concat_arrays(ids)))
-        yield batch_of(arrow, part=[name], number=[-1], data=[path.encode()])
-        pieces = [p.encode() for p in part.pieces]
-        for a in range(0, len(pieces), 100_000):
-            some = pieces[a : a + 100_000]
-            yield batch_of(arrow, part=[name] * len(some), number=range(a, a + len(some)), data=some)
+            out.write(part.packed(pa.concat_arrays(ids), shard))
+        order = np.argsort(shard, kind="stable")
+        to, starts = np.unique(shard[order], return_index=True)
+        rows = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pieces)], strict=False):
+            some = [pieces[i] for i in order[a:b].tolist()]
+            rows.append(bundle(np.frombuffer(b"".join(some), np.uint8), small(np.fromiter(map(len, some), np.int64, len(some)))))
+        return batch_of(arrow, part=[name] * (len(rows) + 1), shard=[-1, *to.tolist()], data=[path.encode(), *rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, find, k = TaskContext.get(), regex.compile(pattern).findall, 0
@@ -293,41 +300,58 @@ def _parts(docs: DataFrame, pattern: str, folder: str) -> DataFrame:
             ids.append(batch.column("id"))
             size += sum(map(len, texts))
             if size >= PART:
-                yield from emit(task.partitionId() << 32 | k, task.taskAttemptId(), part, ids)
+                yield emit(task.partitionId() << 32 | k, task.taskAttemptId(), part, ids)
                 part, ids, size, k = Part(find), [], 0, k + 1
         if ids:
-            yield from emit(task.partitionId() << 32 | k, task.taskAttemptId(), part, ids)
+            yield emit(task.partitionId() << 32 | k, task.taskAttemptId(), part, ids)
 
-    return docs.mapInArrow(trimmed(run), _PIECE)
+    return docs.mapInArrow(trimmed(run), _MESSAGE)
 
 
-def _replayed(pieces: DataFrame, path: str) -> DataFrame:
-    """The same rows with each piece's ids in its place: sorted, equal pieces stand together and are replayed once."""
-    arrow = arrow_schema(_PIECE)
+def strings(data: np.ndarray, length: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(data)])
 
-    def answer(batches: list[pa.RecordBatch], merges: Merges) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        found = table.column("data").combine_chunks().dictionary_encode()
-        ids = pa.array(replay(found.dictionary.to_pylist(), merges), pa.binary())
-        start = 0
-        for batch in batches:
-            index = found.indices.slice(start, batch.num_rows)
-            start += batch.num_rows
-            yield batch_of(arrow, part=batch.column("part"), number=batch.column("number"), data=ids.take(index))
+
+def _replayed(messages: DataFrame, path: str) -> DataFrame:
+    """Each message answered: how many ids each of its pieces has, and the ids.
+
+    A partition's messages come shard by shard.  What was replayed for the messages before is known, up to ``TOGETHER`` bytes.
+    """
+    arrow = arrow_schema(_MESSAGE)
+
+    def answer(waiting: list[tuple[int, int, pa.Array]], known: dict[bytes, bytes], merges: Merges) -> pa.RecordBatch:
+        found = pa.chunked_array([x for _, _, x in waiting]).combine_chunks().dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        new = [p for p in distinct if p not in known]
+        if sum(map(len, known)) > TOGETHER:
+            known.clear()
+            new = distinct
+        known.update(zip(new, replay(new, merges), strict=True))
+        ids = [known[p] for p in distinct]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        token = np.frombuffer(b"".join(ids), "<u4")
+        start, index, rows, a = np.cumsum(length) - length, found.indices.to_numpy(), [], 0
+        for _, _, x in waiting:
+            k = index[a : a + len(x)]
+            a += len(x)
+            rows.append(bundle(small(length[k]), token[spread(start[k], length[k])]))
+        return batch_of(arrow, part=[part for part, _, _ in waiting], shard=[shard for _, shard, _ in waiting], data=rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, waiting, size = coder(path).merges, [], 0
-        for all_rows in batches:
-            for batch in slices([all_rows], "data", TOGETHER):
-                waiting.append(batch)
-                size += sum(map(len, batch.column("data").unique().to_pylist()))
+        merges, known, waiting, size = coder(path).merges, {}, [], 0
+        for batch in batches:
+            for part, shard, data in zip(*(batch.column(c) for c in ("part", "shard", "data")), strict=True):
+                text, length = unbundle(data.as_py())
+                waiting.append((part.as_py(), shard.as_py(), strings(text, length)))
+                size += len(text)
                 if size >= TOGETHER:
-                    yield from answer(waiting, merges)
+                    yield answer(waiting, known, merges)
                     waiting, size = [], 0
         if waiting:
-            yield from answer(waiting, merges)
+            yield answer(waiting, known, merges)
 
-    return pieces.repartition("data").sortWithinPartitions("data").mapInArrow(trimmed(run), _PIECE)
+    return messages.repartition("shard").sortWithinPartitions("shard").mapInArrow(trimmed(run), _MESSAGE)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -338,23 +362,27 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _put_together(table: pa.Table) -> tuple[pa.Array, list[bytes]]:
     """The ids of a part's documents, and each one's token ids as little-endian unsigned 32-bit integers."""
-    order = np.argsort(table.column("number").to_numpy(), kind="stable")
-    data = table.column("data").combine_chunks().take(pa.array(order))
-    fs, name = opened(data[0].as_py().decode())
+    data = dict(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))
+    fs, name = opened(data.pop(-1).decode())
     with fs.open_input_file(name) as file:
-        rows, sizes, skip, flat, counts, stream = unbundle(file.read())
+        rows, sizes, skip, flat, counts, shard, stream = unbundle(file.read())
     with pa.ipc.open_stream(pa.py_buffer(stream)) as read:
         ids = read.read_all().column("id").combine_chunks()
-    coded = data[1:].to_pylist()
-    length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    token = np.frombuffer(b"".join(coded), "<u4")
+    answers = [unbundle(data[s]) for s in sorted(data)]
+    none = [np.zeros(0, np.uint32)]
+    token = np.concatenate(none + [x for _, x in answers])
+    # The pieces by shard, in the order in which they were sent.
+    sent = np.argsort(shard, kind="stable")
+    n = np.concatenate(none + [x for x, _ in answers]).astype(np.int64)
+    length, start = np.zeros((2, len(shard)), np.int64)
+    length[sent], start[sent] = n, np.cumsum(n) - n
     counts = counts.astype(np.int64)
     place = (np.cumsum(counts) - counts)[rows]
     pieces = flat[spread(place, counts[rows])]
     at = np.concatenate([[0], np.cumsum(counts[rows])])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
     n = length[pieces]
     until = np.concatenate([[0], np.cumsum(n)])
-    token = token[spread((np.cumsum(length) - length)[pieces], n)].tobytes()
+    token = token[spread(start[pieces], n)].tobytes()
     starts, ends = (4 * until[at[:-1] + skip]).tolist(), (4 * until[at[1:]]).tolist()
     return ids, [token[a:b] for a, b in zip(starts, ends, strict=True)]
 
@@ -363,14 +391,16 @@ def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
     """``id_col`` and what ``columns`` makes of the token ids of each part's texts."""
     arrow = arrow_schema(schema)
     folder = shared_dir(df.sparkSession)
-    parts = stored(_parts(pick(df, id=id_col, text=text_col), pattern, f"{folder}/files"), "pieces", folder)
-    answers = _replayed(parts.where("number >= 0"), path)
+    docs = pick(df, id=id_col, text=text_col)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = stored(_parts(docs, pattern, max(1, -(-size // SHARD)), f"{folder}/files"), "pieces", folder)
+    answers = _replayed(parts.where("shard >= 0"), path)
 
     def run(table: pa.Table) -> pa.Table:
         ids, coded = _put_together(table)
         return pa.Table.from_batches([batch_of(arrow, **{id_col: ids}, **columns(coded))])
 
-    return answers.union(parts.where("number < 0")).groupBy("part").applyInArrow(run, schema)
+    return answers.union(parts.where("shard < 0")).groupBy("part").applyInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
