@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, bundle, field, opened, pick, shared_dir, slices, small, stored, struct, trimmed, unbundle
+from .common import arrow_schema, batch_of, bundle, field, opened, pick, shared_dir, slices, small, stored, struct, trimmed, unbundle, worker_table
 
 #: Bytes of text after which a part ends with its slice of the input, bytes of text for each shard, and bytes of pieces that are replayed together.
 PART, SHARD, TOGETHER = 8 << 20, 8 << 20, 4 << 20
@@ -185,7 +185,7 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_coders: dict[str, ByteBpe] = {}
+_coders: dict[str, ByteBpe] = worker_table()
 
 
 def coder(path: str) -> ByteBpe:

@@ -83,10 +83,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield batch.slice(start)
 
 
+#: What a worker keeps from task to task, and the module whose tasks it had last.
+_TABLES: list[dict] = []
+_OWNER = [""]
+
+
+def worker_table() -> dict:
+    """A table that a worker keeps from task to task, as long as they are of the same operator."""
+    _TABLES.append(table := {})
+    return table
+
+
+def turned_to(module: str) -> None:
+    """Called in a worker as a task starts: tables of another operator's tasks are given up."""
+    if _OWNER[0] != module:
+        _OWNER[0] = module
+        for table in _TABLES:
+            table.clear()
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker, which waits for further tasks, gives the memory that it freed back to the system."""
+    """``run``, before which the worker gives up other operators' tables, and after which it gives the memory that it freed back to the system."""
+    module = run.__module__
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned_to(module)
         try:
             yield from run(batches)
         finally:

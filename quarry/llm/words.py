@@ -16,6 +16,7 @@ from itertools import islice
 
 import numpy as np
 
+from .common import worker_table
 
 #: The longest words that a table keeps; with the number of words, this bounds its bytes.
 KEEP = 64
@@ -213,7 +214,7 @@ class WordBpe:
         return [little[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-_coders: dict[str, WordBpe] = {}
+_coders: dict[str, WordBpe] = worker_table()
 
 
 def encode_texts(texts: list[bytes], path: str, end: int | None = None) -> list[bytes]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import byte_bpe, fingerprints, language, media, near_copies, ngram_lm, packing, secrets, simhash, substrings, token_files, words
+from quarry.llm import byte_bpe, common, fingerprints, language, media, near_copies, ngram_lm, packing, secrets, simhash, substrings, token_files, words
 from quarry.llm.components import components
 
 WORDS = P.path("word_bpe_49k.json")
@@ -544,6 +544,16 @@ def test_maximal_repeats():
         assert {(n, at) for n, at in found if len({text[i : i + n] for i in at}) != 1} == set()
 
 
+def test_tables_of_a_worker():
+    table = common.worker_table()
+    steps = {name: common.trimmed(lambda batches: batches) for name in "ab"}
+    common.turned_to("a")
+    table["x"] = 1
+    common.turned_to("a")
+    assert table == {"x": 1}
+    assert list(steps["b"](iter([1, 2]))) == [1, 2] and table == {}
+
+
 def test_slices_by_bytes():
     import pyarrow as pa
 
