@@ -4,10 +4,11 @@ Every byte that lies in a string of ``length`` bytes which also starts anywhere
 another, is found.  The corpus is cut so that equal strings meet, without a suffix array of it all:
 
 1. Each window of ``length`` bytes has an anchor: the k-mer of least hash in it, the leftmost if there are two.
-   Equal windows have equal anchors.  Windows that follow each other and share an anchor are one segment, on
-   average 85 windows or so.  Within a slice of the input, equal segments are one at once, with all their
+   Equal windows have equal anchors at equal places, and so equal bytes from the anchor to the further end of the window.  At least half
+   a window of these, to the left or to the right, is the context of the anchor.  Windows that follow each other and share
+   an anchor and its side are one segment.  Within a slice of the input, equal segments are one at once, with all their
    places known as repeats; so what is sent of a passage that is very common is one row for each slice.
-2. Segments go by their anchor.  A segment that occurs twice is repeated whole.  One representative of every
+2. Segments go by their anchor with its context: common words alone don't bring segments together.  A segment that occurs twice is repeated whole.  One representative of every
    other, and of those if other segments have the same anchor, is fetched from its text.
 3. The segments of an anchor form, with those of other anchors, a small text.  Its suffixes are sorted by prefix
    doubling; longest common prefixes of neighbours make intervals, which a stack scan visits inner first.  An interval of
@@ -83,7 +84,7 @@ class Rolling:
 
 
 def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, ...]:
-    """Segments of texts that stand one after the other: (index of text, start, end, hash of anchor, hash and length of segment)."""
+    """Segments of texts that stand one after the other: (index of text, start, end, hash of anchor and context, hash and length of segment)."""
     none = np.zeros(0, np.int64)
     if len(text) < length:
         return none, none, none, none, none
@@ -102,10 +103,14 @@ def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
     at = np.flatnonzero(np.arange(len(anchor)) + length <= ends[owner])
     if not len(at):
         return none, none, none, none, none
-    new = np.concatenate([[True], (anchor[at[1:]] != anchor[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])])
+    half = (length - k) // 2
+    left = anchor[at] - at >= half  # half of the window or more is before the anchor
+    new = np.concatenate([[True], (anchor[at[1:]] != anchor[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]]) | (left[1:] != left[:-1])])
     lo, hi = at[new], at[np.concatenate([new[1:], [True]])] + length
+    near, left = anchor[lo], left[new]
+    key = rolling.of(np.where(left, near - half, near), np.where(left, near + k, near + length - half))
     seg = (rolling.of(lo, hi) & ~np.uint64(0xFFFF)) | (hi - lo).astype(np.uint64)
-    return owner[lo], lo, hi, h[anchor[lo]].view(np.int64), seg.view(np.int64)
+    return owner[lo], lo, hi, key.view(np.int64), seg.view(np.int64)
 
 
 # -- the enhanced suffix array of a small text ---------------------------------------------------------
