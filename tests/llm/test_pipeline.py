@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from quarry.llm import simhash
+from quarry.llm import near_copies, simhash
 from quarry.llm.queries import vocabulary
 
 COMMON = {"en": "the and of that with was for this from they have been their would about", "de": "der und das nicht ein mit sich auf dem werden haben durch gegen einer"}
@@ -77,3 +77,32 @@ def test_near_copies_of_few_changes(spark, folder):
             rows.append((100 + 3 * i + k, " ".join(copy)))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, folder[0]).collect()) == list(range(10))
+
+
+def versions(rng, n, words, changes):
+    """Texts that differ from one by some changed words each, and the least of those that pairs of 0.8 or more link, by all pairs."""
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, words)], []
+    for _ in range(n):
+        x = list(base)
+        for at in rng.choice(words, changes, replace=False).tolist():
+            x[at] = f"n{rng.integers(10**9)}"
+        texts.append(" ".join(x))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(str.split, texts)]
+    up = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if up[i] != up[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return texts, sorted(set(up))
+
+
+def test_links_that_no_hub_has(spark, folder, monkeypatch):
+    """Many versions just below the similarity, of which few pairs reach it: none stays whose bucket has a similar member."""
+    monkeypatch.setattr(near_copies, "LEAST", 16384)  # several tiles
+    texts, kept = versions(np.random.default_rng(5), 240, 150, 3)
+    assert 100 < len(kept) < 230
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stage = dict(pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, docs, folder[0]).collect()) == kept
+    assert len(near_copies.deduplicated(docs, exact=False).collect()) > len(kept)
