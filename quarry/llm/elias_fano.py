@@ -138,15 +138,22 @@ class Trie:
         out = np.full(len(context), -1, np.int64)
         if not self.contexts.n:
             return out
-        i = self.contexts.rank(context)
-        there = np.flatnonzero(i < self.contexts.n)
-        there = there[self.contexts.get(i[there]) == context[there].astype(np.uint64)]
-        i = i[there]
-        first, end = self.pointers.get(i).astype(np.int64), self.pointers.get(i + 1).astype(np.int64)
-        base = np.zeros(len(i), np.uint64)
-        later = first > 0
+        # Each run of equal contexts is looked up once.
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        run, own = np.cumsum(new) - 1, context[new].astype(np.uint64)
+        i = self.contexts.rank(own)
+        known = np.flatnonzero(i < self.contexts.n)
+        known = known[self.contexts.get(i[known]) == own[known]]
+        i = i[known]
+        first, end = (np.zeros(len(own), np.int64) for _ in range(2))
+        base = np.zeros(len(own), np.uint64)
+        first[known], end[known] = self.pointers.get(i).astype(np.int64), self.pointers.get(i + 1).astype(np.int64)
+        later = np.flatnonzero(first > 0)
         base[later] = self.successors.get(first[later] - 1) + np.uint64(1)
-        target = base + successor[there].astype(np.uint64)
+        there = np.flatnonzero(end[run])
+        run = run[there]
+        end, target = end[run], base[run] + successor[there].astype(np.uint64)
         at = self.successors.rank(target)
         hit = np.flatnonzero(at < end)
         hit = hit[self.successors.get(at[hit]) == target[hit]]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import byte_bpe, common, fingerprints, language, media, near_copies, ngram_lm, packing, secrets, simhash, substrings, token_files, words
+from quarry.llm import byte_bpe, common, elias_fano, fingerprints, language, media, near_copies, ngram_lm, packing, secrets, simhash, substrings, token_files, words
 from quarry.llm.components import components
 
 WORDS = P.path("word_bpe_49k.json")
@@ -664,3 +664,18 @@ def test_markov_kinds():
     assert [(a, b) for a, _, b in model.spans(f"{first}.{second}", [])] == [(0, 16), (17, 33)]
     text = "f00dfeedf00dfeedf00dfeed" + first  # a fixed form, and what is left of the run
     assert [(a, b) for a, _, b in model.spans(text, secrets.base_spans(text))] == [(m := secrets.base_spans(text)[0][2], len(text))] and m >= 24
+
+
+def test_trie_looks_up_runs_of_contexts_once(monkeypatch):
+    """The same places in any order of what is asked; a context that is asked for in a run is sought once."""
+    rng = np.random.default_rng(4)
+    key = np.unique(rng.integers(0, 40, 3000) * 1000 + rng.integers(0, 200, 3000))
+    context, successor = key // 1000, (key % 1000).astype(np.uint64)
+    there = rng.random(len(key)) < 0.7
+    trie = elias_fano.Trie.read(elias_fano.Trie.build(context[there].astype(np.uint64), successor[there], np.zeros(there.sum(), np.uint8)))
+    want = np.where(there, np.cumsum(there) - 1, -1)
+    sought, rank = [], trie.contexts.rank
+    monkeypatch.setattr(trie.contexts, "rank", lambda x: sought.append(len(x)) or rank(x))
+    assert trie.find(context.astype(np.uint64), successor).tolist() == want.tolist() and sought == [len(np.unique(context))]
+    order = rng.permutation(len(key))
+    assert trie.find(context[order].astype(np.uint64), successor[order]).tolist() == want[order].tolist()
