@@ -106,3 +106,27 @@ def test_links_that_no_hub_has(spark, folder, monkeypatch):
     stage = dict(pipeline.STAGES)["near_duplicates"]
     assert sorted(r.doc_id for r in stage(spark, docs, folder[0]).collect()) == kept
     assert len(near_copies.deduplicated(docs, exact=False).collect()) > len(kept)
+
+
+def test_texts_that_meet_nothing_stay(spark):
+    """Of a table of which few texts share a bucket, only those are sent, also where their ids are too many to be broadcast."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 1000 + i, " ".join(f"{x:x}" for x in rng.integers(1 << 60, size=500).tolist())) for i in range(300)]
+    rows += [(300, 1300, rows[7][2] + " end"), (7, 1400, rows[7][2])]  # a near copy, a copy
+    size = sum(len(t) for *_, t in rows)
+    table = spark.createDataFrame(rows, "node bigint, id bigint, text string")
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s := found.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(found.size())}
+
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), max(stages(), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [tuple(r) for r in near_copies.classes(table).collect()] == [(300, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    sent = sum(n for k, n in stages().items() if k > before)
+    assert 0 < sent < size / 4
