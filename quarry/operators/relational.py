@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ColumnCollision, ColumnNotFound, NotAnEquiJoin
-from ..plans.predicates import condition, is_equality
+from ..plans.predicates import condition, is_equality, order
+from . import blocks
 
 
 def column(df: DataFrame, name: str) -> Column:
@@ -39,15 +40,20 @@ def _named(left: DataFrame, right: DataFrame, suffixes: tuple[str, str] | None)
     return names[0], names[1]
 
 
-def _join(left: DataFrame, right: DataFrame, left_column: str, right_column: str, on, suffixes, strategy: str | None) -> DataFrame:
-    """Inner join, left columns before right ones.  Both sides are renamed, so a table can be joined with itself."""
+def _join(left: DataFrame, right: DataFrame, left_column: str, right_column: str, on, suffixes, strategy: str | None, instead=None) -> DataFrame:
+    """Inner join, left columns before right ones.  Both sides are renamed, so a table can be joined with itself.
+
+    ``instead`` may do it in another way; it takes the renamed sides and the names of their keys.
+    """
     for df, name in ((left, left_column), (right, right_column)):
         column(df, name)
     names = _named(left, right, suffixes)
     sides = [df.toDF(*(f"{side}{i}" for i in range(len(df.columns)))) for side, df in zip("lr", (left, right), strict=True)]
-    keys = (F.col(f"l{left.columns.index(left_column)}"), F.col(f"r{right.columns.index(right_column)}"))
+    keys = (f"l{left.columns.index(left_column)}", f"r{right.columns.index(right_column)}")
     other = sides[1].hint(strategy) if strategy else sides[1]
-    return sides[0].join(other, on(*keys), "inner").toDF(*names[0], *names[1])
+    found = sides[0].join(other, on(*map(F.col, keys)), "inner")
+    better = instead(*sides, keys) if instead else None
+    return (found if better is None else better).toDF(*names[0], *names[1])
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, left_column: str, right_column: str, predicate, suffixes=None, strategy=None) -> DataFrame:
@@ -61,5 +67,11 @@ def hash_join(left: DataFrame, right: DataFrame, left_column: str, right_column:
 
 
 def hash_bucket_join(left: DataFrame, right: DataFrame, left_column: str, right_column: str, predicate, buckets: int = 50, suffixes=None, strategy=None) -> DataFrame:
-    """The remainder has the sign of the value, on both sides alike."""
-    return _join(left, right, left_column, right_column, lambda a, b: (a % buckets == b % buckets) & condition(predicate, a, b), suffixes, strategy)
+    """The remainder has the sign of the value, on both sides alike.  Unless it is by equality, rows are counted now, and many are joined in blocks."""
+
+    def in_blocks(a: DataFrame, b: DataFrame, keys: tuple[str, str]) -> DataFrame | None:
+        return blocks.join(a, b, keys, buckets, condition(predicate, *map(F.col, keys)), order(predicate), strategy)
+
+    spark_alone = is_equality(predicate) or left.isStreaming or right.isStreaming
+    on = lambda a, b: (a % buckets == b % buckets) & condition(predicate, a, b)
+    return _join(left, right, left_column, right_column, on, suffixes, strategy, None if spark_alone else in_blocks)

@@ -1,4 +1,4 @@
-"""Plans to DataFrames.  Effects on the catalog happen here, inputs first and left before right; reads stay lazy."""
+"""Plans to DataFrames.  Effects on the catalog happen here, inputs first and left before right; reads stay lazy, but for the counts of a bucket join."""
 
 from __future__ import annotations
 

@@ -38,7 +38,7 @@ def condition(predicate: Callable[..., Any], *columns: Column) -> Column:
 
 
 class _Side:
-    """Stands in for a column and answers only to equality with the other side."""
+    """Stands in for a column and answers only to equality and order with the other side."""
 
     def __init__(self, name: str):
         self.name = name
@@ -46,14 +46,32 @@ class _Side:
     def __eq__(self, other: object) -> Any:
         return ("equal", frozenset((self.name, getattr(other, "name", None))))
 
+    def __lt__(self, other: object) -> Any:
+        return ("order", self.name, getattr(other, "name", None))
+
+    def __gt__(self, other: object) -> Any:
+        return ("order", getattr(other, "name", None), self.name)
+
+    __le__, __ge__ = __lt__, __gt__
     __hash__ = None
 
 
-def is_equality(predicate: Callable[..., Any]) -> bool:
-    """Whether the predicate is the equality of its two arguments, and nothing else."""
+def _asked(predicate: Callable[..., Any]) -> tuple | None:
+    """What the predicate asks of its two arguments; None for anything but one equality or order."""
     if getattr(predicate, "opaque", False):
-        return False
+        return None
     try:
-        return predicate(_Side("l"), _Side("r")) == ("equal", frozenset("lr"))
+        found = predicate(_Side("l"), _Side("r"))
     except Exception:  # it asks the stand-ins for anything else
-        return False
+        return None
+    return found if isinstance(found, tuple) else None
+
+
+def is_equality(predicate: Callable[..., Any]) -> bool:
+    """Whether the predicate is the equality of its two arguments, and nothing else."""
+    return _asked(predicate) == ("equal", frozenset("lr"))
+
+
+def order(predicate: Callable[..., Any]) -> str | None:
+    """"lr" if the predicate is that its first argument is below the second (or equal), and nothing else; "rl" for above; None for any other."""
+    return {("order", "l", "r"): "lr", ("order", "r", "l"): "rl"}.get(_asked(predicate))

@@ -230,3 +230,49 @@ def test_nulls(engine, spark):
     assert engine.query(NestedLoopJoin(left, right, "a", "c", lambda a, b: a <= b)).count() == 3
     assert engine.query(HashBucketJoin(left, right, "a", "c", lambda a, b: a == b)).count() == 2
     assert engine.query(Scan(left, "a", lambda c: c != 1)).count() == 1 and engine.query(Scan(left, "b", opaque(lambda v: v is not None and v < "z"))).count() == 2
+
+
+def test_order_is_recognised():
+    from quarry.plans.predicates import order
+
+    assert order(lambda a, b: a < b) == order(lambda a, b: b >= a) == "lr" and order(lambda a, b: a >= b) == order(lambda a, b: b < a) == "rl"
+    for other in (equal, lambda a, b: a < 1, lambda a, b: a < a, lambda a, b: (a < b) & (b < 9), lambda a, b: a + 1 < b, lambda a, b: True, opaque(lambda a, b: a < b)):
+        assert order(other) is None
+
+
+def within(a, b):
+    return (a < b) & (b <= a + 100) | (a - b == 50)
+
+
+def test_a_bucket_is_joined_in_many_tasks(engine, spark):
+    """All rows are in one bucket and read by one task; no task makes most of the pairs, and each pair is made once."""
+    from pyspark.sql import functions as F
+
+    n = 9_000
+    engine.register("l", spark.range(0, n, 1, 1).select((F.col("id") * 50).alias("a")))
+    engine.register("r", spark.range(0, n, 1, 1).select((F.col("id") * 50).alias("b")))
+    for predicate, expected in ((lambda a, b: a < b, n * (n - 1) // 2), (within, 3 * n - 4)):
+        found = engine.query(HashBucketJoin(GetTable("l"), GetTable("r"), "a", "b", predicate))
+        tasks = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == expected and max(tasks) < expected / 2
+
+
+@pytest.mark.parametrize("predicate", [lambda a, b: a < b, lambda a, b: a <= b, lambda a, b: a > b, lambda a, b: b <= a, lambda a, b: (a < b) & (b < a + 150), lambda a, b: True, opaque(lambda a, b: a + b < 60)])
+@pytest.mark.parametrize(("kind", "buckets"), [("int", 50), ("double", 1)])
+def test_bucket_join_in_blocks(engine, spark, monkeypatch, predicate, kind, buckets):
+    """The same rows as in one piece: values that many rows have, negative ones, nulls, equal rows and lone ends."""
+    import random
+
+    from quarry.operators import blocks
+
+    rng = random.Random(7)
+    kinds = {"a": kind, "b": "bigint" if kind == "int" else kind}
+    for name, column, n in (("l", "a", 90), ("r", "b", 60)):
+        values = [rng.choice((None, 7, 7, 57, -43, -93, rng.randint(-200, 200), 2**31 - 1 if name == "l" else -5000)) for _ in range(n)]
+        engine.register(name, spark.createDataFrame([(None if v is None else v if kinds[column] != "double" else float(v), "same") for v in values], f"{column} {kinds[column]}, {name}2 string"))
+    found = []
+    for plain, block in ((1 << 60, 10), (0, 3)):
+        monkeypatch.setattr(blocks, "PLAIN", plain)
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        found.append(rows(engine.query(HashBucketJoin(GetTable("l"), GetTable("r"), "a", "b", predicate, buckets))))
+    assert found[0] and found[1] == found[0]
