@@ -115,11 +115,11 @@ def join(left: DataFrame, right: DataFrame, keys: tuple[str, str], buckets: int,
         if any(row[3] > 1 for row in rows):  # rows of a task take turns in an order that is the same if it is repeated
             df = df.sortWithinPartitions(F.xxhash64(*(f.name for f in df.schema if not any(x in f.dataType.simpleString() for x in _OPAQUE))))
             df, turn = df.select("*", F.monotonically_increasing_id().alias("turn")), F.pmod("turn", "blocks").cast("int")
-        where = F.broadcast(df.sparkSession.createDataFrame(rows, "class int, range int, block int, blocks int, first int, last int"))
-        own, other = (F.col("block") + turn).alias(f"{s}_own"), F.explode(F.sequence("first", "last")).alias(f"{s}_other")
-        df = df.join(where, (group[s] == F.col("class")) & (at[s] == F.col("range"))).select(*sides[s].columns, hashed[s].alias(f"{s}_hash"), own, other)
-        cells[s] = df.repartition(tasks, *(f"{s}_{x}" for x in (("hash", "own", "other") if s == "l" else ("hash", "other", "own"))))
-    same = (F.col("l_hash") == F.col("r_hash")) & (F.col("l_own") == F.col("r_other")) & (F.col("l_other") == F.col("r_own"))
-    if not whole:  # not as an equality, which would become a key and deal the rows anew
-        same &= bucket["l"].between(bucket["r"], bucket["r"])
+        where = F.broadcast(df.sparkSession.createDataFrame(rows, "class int, range int, block bigint, blocks int, first bigint, last bigint"))
+        df = df.join(where, (group[s] == F.col("class")) & (at[s] == F.col("range")))
+        df = df.select(*sides[s].columns, bucket[s].alias(f"{s}_bucket"), hashed[s].alias("hash"), (F.col("block") + turn).alias("own"), F.explode(F.sequence("first", "last")).alias("met"))
+        df = df.select("*", F.shiftleft("own" if s == "l" else "met", 32).bitwiseOR(F.col("met" if s == "l" else "own")).alias(f"{s}_place"))
+        cells[s] = df.select(*sides[s].columns, f"{s}_bucket", f"{s}_place", F.xxhash64("hash", f"{s}_place").alias(f"{s}_cell")).repartition(tasks, f"{s}_cell")
+    # one key, never a constant: with other keys, or fewer, Spark would deal the rows anew, to few tasks; so what makes it exact isn't written as an equality
+    same = (F.col("l_cell") == F.col("r_cell")) & F.col("l_place").between(F.col("r_place"), F.col("r_place")) & F.col("l_bucket").between(F.col("r_bucket"), F.col("r_bucket"))
     return cells["l"].join(cells["r"].hint(strategy or "merge"), same & condition, "inner").select(*left.columns, *right.columns)

@@ -255,6 +255,11 @@ def test_a_bucket_is_joined_in_many_tasks(engine, spark):
         found = engine.query(HashBucketJoin(GetTable("l"), GetTable("r"), "a", "b", predicate))
         tasks = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(tasks) == expected and max(tasks) < expected / 2
+    for name, value in (("l", 7), ("r", 57)):  # one value
+        engine.register(name, spark.range(0, n, 1, 1).select(F.lit(value).alias("a" if name == "l" else "b")))
+    found = engine.query(HashBucketJoin(GetTable("l"), GetTable("r"), "a", "b", lambda a, b: a < b))
+    tasks = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n * n and max(tasks) < n * n / 2
 
 
 @pytest.mark.parametrize("predicate", [lambda a, b: a < b, lambda a, b: a <= b, lambda a, b: a > b, lambda a, b: b <= a, lambda a, b: (a < b) & (b < a + 150), lambda a, b: True, opaque(lambda a, b: a + b < 60)])
